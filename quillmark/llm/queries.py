@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, near_dup, suffix_dedup
+from . import decontaminate, language_id, lm_score, near_dup, suffix_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(_docs(spark, sf_dir))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("held_out", language_id.held_out(parts=5, part=1))
+    vocab, tail = lm_score.fit(docs.where("not held_out"))
+    return lm_score.score(docs, vocab, tail)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     langs, weights = language_id.fit(docs.where(~language_id.held_out()))
@@ -35,6 +41,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array": op1_suffix_array,
+        "op3_lm_score": op3_lm_score,
         "op4_language_id": op4_language_id,
         "op5_decontaminate": op5_decontaminate,
         "op10_minhash": op10_minhash,
