@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm_score, near_dup, suffix_dedup
+from . import decontaminate, language_id, lm_score, near_dup, piece_sampler, suffix_dedup, token_store
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(_docs(spark, sf_dir))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_store.write_blocks(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_blocks(*written).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("held_out", language_id.held_out(parts=5, part=1))
     vocab, tail = lm_score.fit(docs.where("not held_out"))
@@ -34,6 +40,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampler.round_trip(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_docs(spark, sf_dir))
 
@@ -41,9 +51,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array": op1_suffix_array,
+        "op2_token_store": op2_token_store,
         "op3_lm_score": op3_lm_score,
         "op4_language_id": op4_language_id,
         "op5_decontaminate": op5_decontaminate,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_minhash": op10_minhash,
     }
 
