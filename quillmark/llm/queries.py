@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm_score, near_dup, piece_sampler, quality, suffix_dedup, token_store
+from . import decontaminate, language_id, lm_score, near_dup, piece_sampler, quality, sharding, suffix_dedup, token_store, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shuffle_into_shards(_docs(spark, sf_dir), 40))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.derivatives(warc.responses(pages)).drop("record")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
     return quality.assess(_docs(spark, sf_dir)).select(*names)
@@ -60,6 +69,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_lm_score": op3_lm_score,
         "op4_language_id": op4_language_id,
         "op5_decontaminate": op5_decontaminate,
+        "op6_sharding": op6_sharding,
+        "op7_warc": op7_warc,
         "op8_quality": op8_quality,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_minhash": op10_minhash,
