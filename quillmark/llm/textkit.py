@@ -2,7 +2,7 @@
 
 Texts stay in Arrow's UTF-8 buffers.  Word boundaries come from a byte table and word hashes from
 wrapping prefix sums, so no Python object is made per word.  Work goes in slices of a few MB and
-pieces of about one MB, whatever the batch or the longest text.
+pieces of some hundred kB, whatever the batch or the longest text.
 """
 
 from __future__ import annotations
@@ -95,8 +95,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray, lower: bool) -> Words:
-    """Words of the texts ``buf[off[i]:off[i+1]]``; with ``lower`` A-Z count as a-z."""
+def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray, lower: bool, kinds: np.ndarray | None = None) -> Words:
+    """Words of the texts ``buf[off[i]:off[i+1]]``; with ``lower`` A-Z count as a-z.
+
+    ``kinds`` gives bytes a kind, and cuts words where kinds 1 and 2 meet.
+    """
     values = _LOWER_CASE if lower else _KEEP_CASE
     begin, stop = int(off[0]), int(off[-1])
     starts, ends, hashes = [], [], []
@@ -119,6 +122,11 @@ def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray, lower: bool) ->
         after = np.empty_like(inside)
         after[-1], after[:-1] = False, inside[1:]
         after[cut[cut > 0] - 1] = False
+        if kinds is not None:
+            kind = kinds[b]
+            meet = kind[1:] + kind[:-1] == 3
+            before[1:] &= ~meet
+            after[:-1] &= ~meet
         s = np.flatnonzero(inside & ~before)
         e = np.flatnonzero(inside & ~after) + 1
         up, down = powers(_BASE, len(b) + 1)

@@ -39,18 +39,26 @@ BLOCK = 1 << 20
 MAX_LANES, EVERY = 4096, 64
 _LOW = np.uint64(1 << 31)
 _MAGIC = b"QRNS"
-_CACHE_BITS, _CACHE_IDS = 20, 6 << 20
+_CACHE_BITS, _CACHE_IDS = 21, 6 << 20
 
 
 # --- tokenizer --------------------------------------------------------------------
 
 
+#: Letters (1) and marks (2) of ASCII between which the tokenizer always cuts.  Apostrophes begin
+#: contractions, and <, | and > stand in special tokens, so nothing is cut beside them.
+_CUTS = np.zeros(256, np.uint8)
+_CUTS[[*range(65, 91), *range(97, 123)]] = 1
+_CUTS[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "'<|>"]] = 2
+
+
 class ChunkEncoder:
     """Ids of whole texts, equal to the library's for each.
 
-    Only white space separates what the tokenizer looks at together, and it drops white space, so a
-    text's ids are those of its chunks.  The library encodes each distinct chunk once while it stays
-    in a direct-mapped cache of fixed size.
+    Only white space and ``_CUTS`` separate what the tokenizer looks at together, and it drops white
+    space and case, so a text's ids are those of its chunks.  The library encodes each distinct chunk
+    once while it stays in a direct-mapped cache of fixed size; many go in one call, with a
+    character between them that no chunk has.
     """
 
     def __init__(self, path: str):
@@ -58,6 +66,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        mark = self._ids(["\0"])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
@@ -65,9 +75,33 @@ class ChunkEncoder:
         self.value = np.zeros(1 << _CACHE_BITS, np.int64)
         self.flat, self.off = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, and how many each has."""
+        flat, size = [], []
+        for lo in range(0, len(chunks), 4096):
+            part = chunks[lo : lo + 4096]
+            ids = np.array(self._ids([" \0 ".join(part)])[0], np.uint16)
+            cut = np.flatnonzero(ids == self.mark) if self.mark is not None else ids[:0]
+            if len(cut) == len(part) - 1:
+                n = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+                ids = np.delete(ids, cut)
+            else:  # a chunk has that character itself
+                each = self._ids(part)
+                n, ids = np.array([len(x) for x in each]), np.array([x for y in each for x in y], np.uint16)
+            flat.append(ids)
+            size.append(n)
+        return np.concatenate(flat), np.concatenate(size)
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and each text's first id (one more offset than texts)."""
-        w = words(buf, off, NOT_SPACE, False)
+        w = words(buf, off, NOT_SPACE, True, _CUTS)
+        special = np.flatnonzero(buf[off[0] : off[-1]] == 0x3C) + off[0]
+        if len(special):  # case counts in the names of special tokens
+            own = np.unique(np.searchsorted(w.start, special, side="right") - 1)
+            w.hash[own] = words(buf, off, NOT_SPACE, False, _CUTS).hash[own] ^ np.uint64(0x5BD1E995)
         if len(self.flat) > _CACHE_IDS:
             self._clear()
         slot = (w.hash >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
@@ -75,12 +109,10 @@ class ChunkEncoder:
         miss = np.flatnonzero(chunk < 0)
         if len(miss):
             kinds, first, back = np.unique(w.hash[miss], return_index=True, return_inverse=True)
-            raw = buf.tobytes() if len(miss) > 1 << 16 else None
-            cut = lambda i: (raw[w.start[i] : w.end[i]] if raw else buf[w.start[i] : w.end[i]].tobytes()).decode()
-            coded = [e.ids for e in self.library.encode_batch_fast([cut(i) for i in miss[first]], add_special_tokens=False)]
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            raw, at = buf.tobytes(), miss[first]
+            ids, size = self._encode_chunks([raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
             base = len(self.off) - 1
-            self.flat = np.concatenate([self.flat, np.fromiter((x for c in coded for x in c), np.uint16, int(size.sum()))])
+            self.flat = np.concatenate([self.flat, ids])
             self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(size)])
             chunk[miss] = base + back
             at = (kinds >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
@@ -91,6 +123,15 @@ class ChunkEncoder:
         return ids, total[w.first]
 
 
+_CODERS: dict[str, ChunkEncoder] = {}  # of a Python worker, for all its tasks
+
+
+def _coder(path: str) -> ChunkEncoder:
+    if path not in _CODERS:
+        _CODERS[path] = ChunkEncoder(path)
+    return _CODERS[path]
+
+
 # --- coder ------------------------------------------------------------------------
 
 
@@ -227,10 +268,10 @@ class Block:
 
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, squeeze = ChunkEncoder(path), zstandard.ZstdCompressor(level=1)
+        coder, squeeze = _coder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             buf, off = buffers(batch.column(1))
-            for lo, hi in slices(off, 2 << 20):
+            for lo, hi in slices(off, 1 << 20):
                 ids, first = coder.encode(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 ids = np.insert(ids, first[1:], END_ID)
                 first = first + np.arange(len(first))
