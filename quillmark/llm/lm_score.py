@@ -87,7 +87,7 @@ def vocabulary(hashes: np.ndarray, counts: np.ndarray, tokens: int, types: int,
     mass = np.cumsum(counts[top:])
     if n > top:
         klass[top:] = CLASSES + np.minimum(mass * BANDS // (mass[-1] + 1), BANDS - 1).astype(int)
-    total = np.bincount(klass, counts, N_CLASS)
+    total = np.bincount(klass, counts, N_CLASS).astype(float)
     inside[top:] = np.log(counts[top:] / total[klass[top:]]) if n > top else 0
     tail = max(0, tokens - documents - int(counts.sum()))
     total[TAIL] += tail
