@@ -7,6 +7,7 @@ needs an engine and is left to adapters.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import SCHEMAS
+from ..model import BBOX, SCHEMAS
 
 _TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]*|[^\s/<>\[\]()]+", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -84,16 +85,21 @@ def _pages(objects: dict[int, bytes]) -> list[int]:
     return out
 
 
-def _fonts(page: int, objects: dict[int, bytes]) -> dict[bytes, tuple[bool, int, list[float]]]:
-    """By resource name: whether bold, the first character code and the widths."""
+def _resource(page: int, kind: bytes, objects: dict[int, bytes]) -> list[tuple[bytes, int]]:
+    """Names and object numbers of a page's resources of a kind."""
     body = _inherited(page, b"Resources", objects) or b""
     link = re.search(rb"/Resources\s+(\d+)\s+\d+\s+R", body)
     body = objects.get(int(link[1]), b"") if link else body
-    link = re.search(rb"/Font\s+(\d+)\s+\d+\s+R", body)
-    table = objects.get(int(link[1]), b"") if link else (re.search(rb"/Font\s*<<(.*?)>>", body, re.S) or [b"", b""])[1]
+    link = re.search(rb"/" + kind + rb"\s+(\d+)\s+\d+\s+R", body)
+    table = objects.get(int(link[1]), b"") if link else (re.search(rb"/" + kind + rb"\s*<<(.*?)>>", body, re.S) or [b"", b""])[1]
+    return [(name, int(number)) for name, number in re.findall(rb"(/[^\s/]+)\s+(\d+)\s+\d+\s+R", table)]
+
+
+def _fonts(page: int, objects: dict[int, bytes]) -> dict[bytes, tuple[bool, int, list[float]]]:
+    """By resource name: whether bold, the first character code and the widths."""
     out = {}
-    for name, number in re.findall(rb"(/[^\s/]+)\s+(\d+)\s+\d+\s+R", table):
-        font = objects.get(int(number), b"")
+    for name, number in _resource(page, b"Font", objects):
+        font = objects.get(number, b"")
         ref = re.search(rb"/Widths\s+(\d+)\s+\d+\s+R", font)
         widths = re.search(rb"\[(.*?)\]", objects.get(int(ref[1]), b""), re.S) if ref else re.search(rb"/Widths\s*\[(.*?)\]", font, re.S)
         first = re.search(rb"/FirstChar\s+(\d+)", font)
@@ -113,8 +119,11 @@ def _product(a: list[float], b: list[float]) -> list[float]:
     return [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5]]
 
 
-def _shows(content: bytes, fonts: dict) -> Iterator[tuple[str, float, float, float, float, bool]]:
-    """(text, x, y, width, size, bold) of what the content shows, in its order; rotated text is left out."""
+def _shows(content: bytes, fonts: dict, placed: list | None = None) -> Iterator[tuple[str, float, float, float, float, bool]]:
+    """(text, x, y, width, size, bold) of what the content shows, in its order; rotated text is left out.
+
+    Names of drawn objects and their matrices are added to ``placed``.
+    """
     one = [1.0, 0, 0, 1, 0, 0]
     ctm, stack, tm, lm = one, [], one, one
     font, size, lead, args = (False, 0, []), 1.0, 0.0, []
@@ -138,6 +147,8 @@ def _shows(content: bytes, fonts: dict) -> Iterator[tuple[str, float, float, flo
                 ctm = stack.pop()
             elif t == b"cm" and len(nums) == 6:
                 ctm = _product(nums, ctm)
+            elif t == b"Do" and args and placed is not None:
+                placed.append((args[-1], ctm))
             elif t == b"BT":
                 tm = lm = one
             elif t == b"Tf" and len(args) >= 2 and nums:
@@ -211,6 +222,105 @@ def page_blocks(data: bytes) -> Iterator[tuple[int, int, float, tuple, list[dict
             yield number, i, height, dict(zip(("x0", "y0", "x1", "y1"), union, strict=True)), made
 
 
+def page_images(data: bytes) -> Iterator[tuple]:
+    """(page, bbox, sha256, width, height, channels, pixels) of the placed images of a file.
+
+    Plain and Flate images of eight bits in grey or RGB have pixels, as BGR rows; others only their hash.
+    """
+    if b"/Encrypt" in data[-4096:]:
+        return
+    objects = _objects(data)
+    for number, page in enumerate(_pages(objects)):
+        box = re.search(rb"/MediaBox\s*\[([^\]]*)\]", _inherited(page, b"MediaBox", objects) or b"")
+        height = float(box[1].split()[3]) if box else 792.0
+        content = b"\n".join(_stream(objects.get(n, b""), objects) for n in _refs(objects[page], b"Contents"))
+        named, placed = dict(_resource(page, b"XObject", objects)), []
+        for _ in _shows(content, {}, placed):
+            pass
+        for name, m in placed:
+            body = objects.get(named.get(name, -1), b"")
+            if not re.search(rb"/Subtype\s*/Image", body):
+                continue
+            raw = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+            size = [int(x[1]) if (x := re.search(rb"/" + k + rb"\s+(\d+)", body)) else 0 for k in (b"Width", b"Height")]
+            channels = 3 if b"/DeviceRGB" in body else 1 if b"/DeviceGray" in body else 0
+            pixels = _stream(body, objects)[: size[0] * size[1] * channels]
+            usable = channels and len(pixels) == size[0] * size[1] * channels and (b"/Filter" not in body or b"FlateDecode" in body) and not re.search(rb"/Predictor\s+[2-9]", body)
+            if usable and channels == 3:
+                swapped = bytearray(pixels)
+                swapped[0::3], swapped[2::3] = pixels[2::3], pixels[0::3]
+                pixels = bytes(swapped)
+            xs, ys = sorted((m[4], m[4] + m[0] + m[2])), sorted((height - m[5], height - m[5] - m[1] - m[3]))
+            where = {"x0": xs[0], "y0": ys[0], "x1": xs[1], "y1": ys[1]}
+            yield number, where, hashlib.sha256(raw[1] if raw else b"").hexdigest(), *size, channels if usable else 0, pixels if usable else None
+
+
+def read_figures(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Raster figures of files given as ``doc_id, content``, numbered through each document."""
+    schema = f"{key} long, id int, page int, bbox {BBOX}, kind string, sha256 string, width int, height int, channels int, data binary"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [key, "id", "page", "bbox", "kind", "sha256", "width", "height", "channels", "data"]
+        for frame in frames:
+            for k, content in zip(frame[key], frame["content"], strict=True):
+                rows = [(k, i, x[0], x[1], "raster", *x[2:]) for i, x in enumerate(page_images(bytes(content or b"")))]
+                yield pd.DataFrame(rows, columns=names)
+
+    return files.select(F.col(key).cast("long").alias(key), "content").mapInPandas(run, schema)
+
+
+#: Colours of marks by layer.
+COLOURS = {"exact": (0.9, 0.3, 0.3), "near": (0.95, 0.65, 0.2), "semantic": (0.35, 0.55, 1.0), "figure": (0.2, 0.75, 0.35)}
+
+
+def annotate(data: bytes, marks: list[tuple[int, tuple[float, float, float, float], str, str]]) -> bytes | None:
+    """The file with marks ``(page, bbox, layer, note)`` appended as annotations; None if it is encrypted.
+
+    Text is highlighted, figures are framed; marks under a point or beyond the last page are left out.
+    The file's own bytes stay as they are and an update is written after them.
+    """
+    if b"/Encrypt" in data[-4096:]:
+        return None
+    objects = _objects(data)
+    pages = _pages(objects)
+    root = next((n for n, b in objects.items() if re.search(rb"/Type\s*/Catalog", b)), None)
+    if root is None:
+        return data
+    top, written = max(objects) + 1, {}
+    by_page: dict[int, list[int]] = {}
+    for page, (x0, y0, x1, y1), layer, note in marks:
+        if page >= len(pages) or x1 - x0 < 1 or y1 - y0 < 1:
+            continue
+        box = re.search(rb"/MediaBox\s*\[([^\]]*)\]", _inherited(pages[page], b"MediaBox", objects) or b"")
+        height = float(box[1].split()[3]) if box else 792.0
+        low, high = height - y1, height - y0
+        colour = " ".join(f"{c:g}" for c in COLOURS[layer])
+        kind = "/Square /BS << /W 2 >>" if layer == "figure" else f"/Highlight /QuadPoints [{x0:g} {high:g} {x1:g} {high:g} {x0:g} {low:g} {x1:g} {low:g}]"
+        text = ("\ufeff" + note).encode("utf-16-be").hex()
+        written[top] = f"<< /Type /Annot /Subtype {kind} /Rect [{x0:g} {low:g} {x1:g} {high:g}] /C [{colour}] /F 4 /Contents <{text}> >>".encode()
+        by_page.setdefault(page, []).append(top)
+        top += 1
+    for page, numbers in by_page.items():
+        body = objects[pages[page]].strip()
+        own = b" ".join(b"%d 0 R" % n for n in numbers)
+        old = re.search(rb"/Annots\s*\[([^\]]*)\]", body)
+        if old:
+            body = body[: old.start(1)] + old[1] + b" " + own + body[old.end(1) :]
+        else:
+            body = body[: body.rindex(b">>")] + b" /Annots [" + own + b"] >>"
+        written[pages[page]] = body
+    out, places = bytearray(data + b"\n"), {}
+    for n, body in sorted(written.items()):
+        places[n] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    before = re.findall(rb"startxref\s+(\d+)", data)
+    at = len(out)
+    out += b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (n, p) for n, p in sorted(places.items()))
+    prev = b" /Prev %d" % int(before[-1]) if before else b""
+    out += b"trailer\n<< /Size %d /Root %d 0 R%s >>\nstartxref\n%d\n%%%%EOF\n" % (top, root, prev, at)
+    return bytes(out)
+
+
 def read_blocks(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """The ``blocks`` table of files given as ``doc_id, content``."""
 
