@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import text as T
-from .model import VerbatimParams
+from .model import ExtractOptions, VerbatimParams
 from .operators import figures as FG
 from .operators import layout as L
 from .operators import semantic as S
 from .operators import verbatim as V
 from .plans.stash import stash
+from .sources import cache, reports
 
 FLAGSHIP = "shared_fingerprints"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -484,3 +485,35 @@ def figure_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     quick = FG.quick_verdict(F.col("phash_distance"), F.col("dhash_distance"), F.col("a_sha") == F.col("b_sha"))
     verdict = F.coalesce(quick, F.when(F.col("crop_ncc") >= 0.85, "cropped").when(F.col("phash_distance") <= 16, "similar"))
     return FG.rank_candidates(both.withColumn("verdict", verdict).where("verdict is not null")).select("a_id", "b_id", "verdict", "phash_distance", "dhash_distance")
+
+
+# --- results ----------------------------------------------------------------------
+
+
+@query(
+    f"{_BOTH_FP}{_RUNS}{_FOLD}, lg as (select mg.*, array_to_string(x.t[a0 + 1:a1], ' ') = array_to_string(y.t[b0 + 1:b1], ' ') ex, array_to_string(x.t[a0 + 1:a1], ' ') s from mg join tka x on x.d = a join tkb y on y.d = b where a1 - a0 >= 12), "
+    "ok as (select * from lg where not exists (select 1 from (select unnest([" + ", ".join(f"'{p}'" for p in V.BOILERPLATE) + "]) p) where contains(p, s))), "
+    "ps as (select distinct a, b from sd2), ca as (select a, b, count(distinct x) c from (select a, b, unnest(range(a0, a1)) x from ok) group by 1, 2), cb as (select a, b, count(distinct x) c from (select a, b, unnest(range(b0, b1)) x from ok) group by 1, 2), "
+    "rr as (select a, b, count(*) n, count(*) filter (ex) e, max(a1 - a0) mx from ok group by 1, 2) "
+    "select ps.a a_doc, ps.b b_doc, len(tka.t)::bigint tokens_a, len(tkb.t)::bigint tokens_b, round(coalesce(ca.c, 0) / len(tka.t), 4) coverage_a, round(coalesce(cb.c, 0) / len(tkb.t), 4) coverage_b, "
+    "coalesce(mx, 0)::bigint longest_run, coalesce(n, 0)::bigint runs, coalesce(e, 0)::bigint exact_runs, coalesce(n - e, 0)::bigint near_runs "
+    "from ps join tka on tka.d = ps.a join tkb on tkb.d = ps.b left join ca using (a, b) left join cb using (a, b) left join rr using (a, b)"
+)
+def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of runs at any score, and coverage, of every pair that shares a fingerprint."""
+    v = _Verbatim(spark, sf_dir)
+    runs = stash(V.score_runs(v.merged(), v.sa, v.sb, v.known, VerbatimParams(near_threshold=0)), "runs")
+    none = runs.select(*V.PAIR).where("false")
+    found = reports.summary(v.pairs, V.coverage(v.pairs, runs, v.sa, v.sb), runs, none).drop("near_sentences")
+    return found.select("a_doc", "b_doc", "coverage_a", "coverage_b", *[F.col(c).cast("long").alias(c) for c in ("tokens_a", "tokens_b", "longest_run", "runs", "exact_runs", "near_runs")])
+
+
+@query(f"select doc_id, substr(sha256(text), 1, 16) || '-v2-{ExtractOptions().digest()}' cache_key from documents")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", cache.cache_key(F.sha2("text", 256), ExtractOptions()).alias("cache_key"))
+
+
+@query(f"{_B} select doc_id::bigint a_doc, 2::bigint b_doc, page::int page, round(x0::double, 3) x0, round(y1::double, 3) y1, 'figure' layer, 'figure same: pHash ' || id || ', NCC 0.5; matches B p' || (page + 1) note from f where x1 - x0 >= 1 and y1 - y0 >= 1")
+def figure_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figs = _figures(spark).select(F.col("doc_id").alias("a_doc"), F.lit(2).cast("long").alias("b_doc"), F.lit("same").alias("verdict"), F.col("id").alias("phash_distance"), F.lit(0.5).alias("ncc"), F.col("page").alias("a_page"), F.col("page").alias("b_page"), F.col("bbox").alias("a_bbox"))
+    return reports.marks("a", figures=figs).select("a_doc", "b_doc", "page", F.round("bbox.x0", 3).alias("x0"), F.round("bbox.y1", 3).alias("y1"), "layer", "note")
