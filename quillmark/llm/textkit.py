@@ -13,8 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
-SLICE = 4 << 20
+PIECE = 1 << 18
+SLICE = 1 << 19
 _BASE, _GRAM = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
