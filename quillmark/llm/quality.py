@@ -4,8 +4,8 @@ Each rule votes good (1) or bad (-1) on a document or abstains (0).  Votes are c
 most 3**rules rows whatever the corpus, and expectation-maximisation over the pattern counts estimates
 the share of good documents and, for every rule, how often it casts either vote on good and on bad ones.
 That is its accuracy: a rule is as strong as those rates differ, and abstaining says nothing.
-A document's posterior probability of being good replaces the test that all rules pass.  Each step
-of EM is an aggregate over the pattern table whose parameters are literals; texts are read once.
+A document's posterior probability of being good replaces the test that all rules pass.  All rounds
+of EM are one expression over the patterns in one row; texts are read once.
 
 Three-word windows are told apart by a 64-bit hash within their document.
 """
@@ -114,6 +114,47 @@ def posterior(names: list[str], share: float, rates: Rates) -> Column:
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms)))
 
 
+_STATE = "struct<share:double,rates:array<struct<up_good:double,up_bad:double,down_good:double,down_bad:double>>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(items: Column, value) -> Column:
+    return F.aggregate(F.transform(items, value), F.lit(0.0), lambda a, x: a + x)
+
+
+def _round(state: Column, rules: int) -> Column:
+    """The next parameters, from those in ``state`` and the column ``patterns``."""
+
+    def scored(x: Column) -> Column:
+        term = lambda v, r: F.when(v == 1, F.log(r.up_good / r.up_bad)).when(v == -1, F.log(r.down_good / r.down_bad)).otherwise(0.0)
+        logit = F.log(state.share / (1 - state.share)) + F.aggregate(F.zip_with(x.v, state.rates, term), F.lit(0.0), lambda a, t: a + t)
+        return _let(1 / (1 + F.exp(-logit)), lambda p: F.struct(x.v.alias("v"), (x.n * p).alias("good"), (x.n * (1 - p)).alias("bad")))
+
+    def rate(rows: Column, j: Column, vote: int, kind: str, of: Column) -> Column:
+        cast = _total(rows, lambda x: F.when(F.get(x.v, j) == vote, x[kind]).otherwise(0.0))
+        return F.greatest(F.lit(LEAST), (cast + 10 * START[vote][kind == "bad"]) / (of + 10))
+
+    def ordered(r: Column) -> Column:
+        up, down = r.up_good >= r.up_bad, r.down_good <= r.down_bad
+        mean = lambda ok, x, a, b: F.when(ok, x).otherwise((a + b) / 2)
+        return F.struct(
+            mean(up, r.up_good, r.up_good, r.up_bad).alias("up_good"), mean(up, r.up_bad, r.up_good, r.up_bad).alias("up_bad"),
+            mean(down, r.down_good, r.down_good, r.down_bad).alias("down_good"), mean(down, r.down_bad, r.down_good, r.down_bad).alias("down_bad"),
+        )
+
+    def update(rows: Column, n: Column) -> Column:
+        each = lambda j: F.struct(*[rate(rows, j, vote, kind, n[kind]).alias(f"{name}_{kind}") for name, vote in (("up", 1), ("down", -1)) for kind in ("good", "bad")])
+        rates = F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), lambda j: _let(each(j), ordered))
+        return F.struct(((n.good + 8.5) / (n.good + n.bad + 10)).alias("share"), rates.alias("rates")).cast(_STATE)
+
+    sums = lambda rows: F.struct(_total(rows, lambda x: x.good).alias("good"), _total(rows, lambda x: x.bad).alias("bad"))
+    return _let(F.transform("patterns", scored), lambda rows: _let(sums(rows), lambda n: update(rows, n)))
+
+
 def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, Rates]:
     """EM over ``names, n``: the share of good documents, and the rates of each rule's votes.
 
@@ -121,21 +162,14 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tup
     seen.  A vote never counts against its own meaning: where its rates come out in the wrong
     order, both are set to their mean and the vote says nothing.
     """
-    share, rates = 0.85, {(v, vote): START[vote] for v in names for vote in (1, -1)}
-    for _ in range(rounds):
-        p, n = posterior(names, share, rates), F.col("n")
-        sums = [F.sum(n * p).alias("good"), F.sum(n * (1 - p)).alias("bad")]
-        for v, vote in rates:
-            sums += [F.sum(F.when(F.col(v) == vote, n * x).otherwise(0.0)) for x in (p, 1 - p)]
-        good, bad, *cast = [x or 0.0 for x in patterns.agg(*sums).first()]
-        share = (good + 8.5) / (good + bad + 10)
-        for i, (v, vote) in enumerate(rates):
-            a = max(LEAST, (cast[2 * i] + 10 * START[vote][0]) / (good + 10))
-            b = max(LEAST, (cast[2 * i + 1] + 10 * START[vote][1]) / (bad + 10))
-            if (a - b) * vote < 0:
-                a = b = (a + b) / 2
-            rates[v, vote] = (a, b)
-    return share, rates
+    one = F.struct(*[F.lit(START[vote][i]).alias(f"{name}_{kind}") for name, vote in (("up", 1), ("down", -1)) for i, kind in enumerate(("good", "bad"))])
+    start = F.struct(F.lit(0.85).alias("share"), F.array_repeat(one, len(names)).alias("rates")).cast(_STATE)
+    whole = patterns.agg(F.collect_list(F.struct(F.array(*names).alias("v"), F.col("n").cast("double").alias("n"))).alias("patterns"))  # 3**rules at most
+    got = whole.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: _round(s, len(names))).alias("s")).first().s
+    rates = {}
+    for v, r in zip(names, got.rates, strict=True):
+        rates[v, 1], rates[v, -1] = (r.up_good, r.up_bad), (r.down_good, r.down_bad)
+    return got.share, rates
 
 
 def assess(docs: DataFrame) -> DataFrame:
