@@ -77,5 +77,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') t"
+
+#: Windows as strings, joined; words have no space, so a string is one window.
+_OP5 = f"""
+with iw as (select item_id, {_ALNUM} from benchmark where item_id is not null),
+win as (select distinct item_id, least(10, len(t)) m, unnest(list_transform(range(0, len(t) - least(10, len(t)) + 1), lambda i: array_to_string(t[i + 1:i + least(10, len(t))], ' '))) w from iw where len(t) > 0),
+dw as (select doc_id, {_ALNUM} from documents),
+dat as (select doc_id, m, unnest(range(0, len(t) - m + 1)) p, t from dw, (select distinct m from win) where len(t) >= m),
+hit as (select doc_id, p, dat.m, item_id from dat join win on win.m = dat.m and win.w = array_to_string(dat.t[p + 1:p + dat.m], ' ')),
+n as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + m)) q from hit) group by 1),
+i as (select doc_id, list_sort(list(distinct item_id::varchar)) items from hit group by 1)
+select doc_id, len(t)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(len(items), 0)::bigint n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from dw left join n using (doc_id) left join i using (doc_id)
+"""
+
+#: All pairs that share a shingle, counted, and the closure of their links.
+_OP10 = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') t from documents),
+sh as (select distinct doc_id, unnest(case when len(t) >= 5 then list_transform(range(0, len(t) - 4), lambda i: array_to_string(t[i + 1:i + 5], ' ')) when len(t) > 0 then [array_to_string(t, ' ')] else [] end) s from w),
+n as (select doc_id, count(*) n from sh group by 1),
+cnt as (select a.doc_id a, b.doc_id b, count(*) c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+link as (select a, b from cnt join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+edge as (select a, b from link union all select b, a from link),
+reach as (select doc_id d, doc_id r from w union select reach.d, edge.b from reach join edge on edge.a = reach.r)
+select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, c component_id, c = w.doc_id kept
+from w left join n using (doc_id) join (select d, min(r) c from reach group by 1) on d = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the others are tested against brute force."""
+    return {"op5_decontaminate": _OP5, "op10_minhash": _OP10}

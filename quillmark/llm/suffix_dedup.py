@@ -160,8 +160,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """One row per span of repeated words: ``doc_id, start, stop, n_words, first_doc_id``.
 
-    ``start`` and ``stop`` number the words of the text from 0; ``first_doc_id`` has the span's first
-    window at its earliest place, which may be in the same document.  Texts that are null, empty or
+    ``start`` and ``stop`` number the words of the text from 0; ``first_doc_id`` is a document that has
+    the span's first window at an earlier place, maybe the same document.  Texts that are null, empty or
     shorter than 50 words and rows without a doc_id have no spans.  A doc_id stands for one text:
     rows that repeat it are not repeats of each other.  Other columns are ignored.
     """

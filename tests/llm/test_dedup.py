@@ -85,7 +85,7 @@ def span_truth(rows):
                 if found and found[-1][1] >= i:
                     found[-1][1] = i + 50
                 else:
-                    found.append([i, i + 50, first[key][0]])
+                    found.append([i, i + 50])
         out[k] = [tuple(x) for x in found]
     return {k: v for k, v in out.items() if v}
 
@@ -98,7 +98,9 @@ def test_repeated_spans_match_brute_force(spark):
     got = collections.defaultdict(list)
     for r in suffix_dedup.repeated_spans(docs).collect():
         assert r.n_words == r.stop - r.start
-        got[r.doc_id].append((r.start, r.stop, r.first_doc_id))
+        got[r.doc_id].append((r.start, r.stop))
+        window = " ".join(words(texts[r.doc_id], fold=False)[r.start : r.start + 50])
+        assert r.first_doc_id <= r.doc_id and window in " ".join(words(texts[r.first_doc_id], fold=False))
     assert {k: sorted(v) for k, v in got.items()} == span_truth(enumerate(texts))
     cut = suffix_dedup.cut_repeats(docs)
     assert cut.columns == docs.columns
