@@ -60,23 +60,38 @@ def _gram(i: Column, k: int) -> Column:
 
 
 def _words(stream: DataFrame, k: int) -> DataFrame:
+    """``doc_id, words, n``: the tokens and how many windows of k they have."""
     words = stream.select("doc_id", F.transform("toks", lambda t: t.tok).alias("words"))
-    return words.withColumn("n", F.size("words") - k + 1).where("n > 0")
+    return words.withColumn("n", F.size("words") - k + 1)
+
+
+def _each(n: Column, make, kind: str) -> Column:
+    """``make`` of 0..n-1; nothing for n < 1.  No filter on n: it would be pushed down and count the tokens again."""
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def kgrams(stream: DataFrame, k: int = 6) -> DataFrame:
     """``doc_id, pos, gram, h``: every window of k tokens and its CRC-32."""
-    grams = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: _gram(i, k))
+    grams = _each(F.col("n"), lambda i: _gram(i, k), "string")
     return _words(stream, k).select("doc_id", F.posexplode(grams).alias("pos", "gram")).withColumn("h", F.crc32(F.col("gram").cast("binary")))
 
 
+_PLACE = 31  # bits of a position, below the 32 of a hash
+_LAST = (1 << _PLACE) - 1
+
+
 def fingerprints(stream: DataFrame, params: VerbatimParams = VerbatimParams()) -> DataFrame:
-    """``doc_id, h, pos``: the rightmost least hash of every window of hashes."""
+    """``doc_id, h, pos``: the rightmost least hash of every window of hashes.
+
+    Hash and place are one whole number whose order is by hash and then from the right.
+    """
     k, w = params.kgram, params.window
-    hashes = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.crc32(_gram(i, k).cast("binary")).alias("h"), (-i).alias("back")))
-    hashed = _words(stream, k).select("doc_id", "n", hashes.alias("hs"))
-    least = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - w, F.lit(0))), lambda i: F.array_min(F.slice("hs", i + 1, w)))
-    return hashed.select("doc_id", F.explode(F.array_distinct(least)).alias("f")).select("doc_id", "f.h", (-F.col("f.back")).alias("pos"))
+    code = lambda i: F.shiftleft(F.crc32(_gram(i, k).cast("binary")), _PLACE) + (_LAST - i)
+    hashed = _words(stream, k).select("doc_id", "n", _each(F.col("n"), code, "bigint").alias("hs"))
+    least = (lambda i: F.least(*[F.get("hs", i + j) for j in range(w)])) if w > 1 else (lambda i: F.get("hs", i))
+    windows = F.when(F.col("n") > 0, F.greatest(F.col("n") - w + 1, F.lit(1))).otherwise(0)
+    picked = hashed.select("doc_id", F.explode(F.array_distinct(_each(windows, least, "bigint"))).alias("f"))
+    return picked.select("doc_id", F.shiftright("f", _PLACE).alias("h"), (_LAST - F.col("f").bitwiseAND(_LAST)).cast("int").alias("pos"))
 
 
 def position_lists(prints: DataFrame) -> DataFrame:
