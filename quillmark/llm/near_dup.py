@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from ..plans.stash import stash
+from ..plans.stash import arrow_rows, stash
 from .textkit import NOT_SPACE, buffers, mix, shingle_sets, slices, words
 
 SHINGLE = 5
 BANDS, ROWS = 42, 6
 BLOCK = 768  # texts on each side of an exact block
+BATCH = 1000  # rows of texts in memory together
 ALIKE, OF = 75, 100
 
 _SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -211,6 +212,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     and kept true.  Rows that repeat a doc_id count as one document.  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     sig = stash(docs.mapInArrow(_signatures, _SIGNATURE), "signatures")
     able = sig.where("n_shingles > 0 and doc_id is not null")
     group = stash(able.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node")), "sets")
