@@ -6,8 +6,8 @@ and so on, each in proportion to the filtered weight, which is an exact draw fro
 A segmentation weighs the product of its pieces; piece with merge rank r weighs
 ``(r + 2) ** -THETA``, as a BPE model has ranks and no probabilities.
 
-No piece has a space after another character or any newline, so the lattice falls apart at those
-places and chunks between them are drawn independently.  Each distinct chunk is filtered once while
+Where no piece has two neighbouring characters side by side, as before spaces and around newlines and most
+marks, the lattice falls apart, and chunks between such places are drawn independently.  Each distinct chunk is filtered once while
 it stays in a cache of fixed size; draws use a counter hash of (row key, chunk, step) and so do not
 depend on batches, partitions or the cache.
 
@@ -31,7 +31,7 @@ THETA = 0.7
 _SPACE = 0x2581
 _LITERAL = 0x7FFFFFFF  # a literal U+2581, which no piece matches
 _HASH, _CHAR = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
-_CACHE_BITS, _CACHE_EDGES, _SIEVE = 18, 3 << 20, 19
+_CACHE_BITS, _CACHE_EDGES, _SIEVE = 20, 6 << 20, 19
 _CELLS = 1 << 18  # of lattices filtered together
 
 
@@ -78,6 +78,13 @@ class Pieces:
         self.size = np.array([len(x) for x in raw])
         self.off = np.concatenate([[0], np.cumsum(self.size)])
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        #: By pairs of bytes: whether they stand side by side in a piece, or in a character.
+        joined = np.zeros((256, 256), bool)
+        for x in raw:
+            pair = np.frombuffer(x, np.uint8)
+            joined[pair[:-1], pair[1:]] = True
+        joined[:, 0x80:0xC0] = True
+        self.joined = joined.reshape(-1)
         self.by_length = {}
         for k, found in sorted(by_length.items()):
             codes = np.frombuffer("".join(p for p, _ in found).encode("utf-32-le"), np.uint32)
@@ -208,10 +215,9 @@ class Sampler:
         self.cdf.add(cdf)
 
     def _chunks(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of the chunks: they start at a space after something else, and around newlines."""
+        """Bounds of the chunks: they start where no piece goes on from the character before."""
         start = np.zeros(len(buf), bool)
-        space, line = buf == 0x20, buf == 0x0A
-        start[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        start[1:] = ~self.p.joined[buf[:-1].astype(np.int32) * 256 + buf[1:]]
         start[off[:-1][off[:-1] < len(buf)]] = True
         s = np.flatnonzero(start)
         return s, np.append(s[1:], len(buf))
@@ -290,10 +296,19 @@ def _seed(keys: list, seed: int) -> np.ndarray:
     return np.array([zlib.crc32(str(k).encode()) | (zlib.crc32(f"{seed}:{k}".encode()) << 32) for k in keys], np.uint64)
 
 
+_SAMPLERS: dict[tuple[str, float], Sampler] = {}  # of a Python worker, for all its tasks
+
+
+def _sampler(path: str, theta: float) -> Sampler:
+    if (path, theta) not in _SAMPLERS:
+        _SAMPLERS[path, theta] = Sampler(Pieces(path, theta))
+    return _SAMPLERS[path, theta]
+
+
 def _encoder(path: str, theta: float, seed: int, check: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, theta)
-        sampler = Sampler(pieces)
+        sampler = _sampler(path, theta)
+        pieces = sampler.p
         for batch in batches:
             texts = batch.column(1)
             buf, off = buffers(texts)
@@ -305,7 +320,10 @@ def _encoder(path: str, theta: float, seed: int, check: bool = False):
                 part = batch.slice(lo, hi - lo)
                 if check:
                     same = _same(raw, cut, *decode_ids(pieces, ids, first))
-                    yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(same)], [batch.schema.names[0], "ids", "lossless"])
+                    wide = ids.astype("<u4").tobytes()
+                    crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                    sums = pa.array(crc, pa.int64(), mask=missing[lo:hi])
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists, sums, pa.array(same)], [batch.schema.names[0], "ids", "ids_crc32", "lossless"])
                 else:
                     yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, "ids"])
 
@@ -354,7 +372,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_pieces, ids, ids_crc32, lossless``; lossless compares what the ids decode to with the text."""
+    """``doc_id, n_pieces, ids, ids_crc32, lossless``; the checksum is of 32-bit ids, and lossless compares what the ids decode to with the text."""
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = ready.mapInArrow(_encoder(path, THETA, 1, check=True), "doc_id long, ids array<int>, lossless boolean")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), "lossless")
+    both = ready.mapInArrow(_encoder(path, THETA, 1, check=True), "doc_id long, ids array<int>, ids_crc32 long, lossless boolean")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "ids_crc32", "lossless")
