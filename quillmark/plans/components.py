@@ -20,30 +20,27 @@ def components(edges: DataFrame) -> DataFrame:
     another vertex do not appear.  An empty input gives an empty result.
     """
     cur = stash(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges"
+        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges", thin=True
     )
     labels = None
     while True:
         seen = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = seen.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-        step = stash(step, "step")
         hop = step.select(F.col("node").alias("m"), F.col("m").alias("mm"))
-        step2 = stash(step.join(hop, "m").select("node", F.col("mm").alias("to")), "jump")
+        step2 = stash(step.join(hop, "m").select("node", F.col("mm").alias("to")), "jump", thin=True)
         left = step2.select(F.col("node").alias("a"), F.col("to").alias("ta"))
         right = step2.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         nxt = (
             cur.join(left, "a").join(right, "b").where("ta <> tb")
             .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
         )
-        nxt = stash(nxt, "edges")
+        nxt = stash(nxt, "edges", thin=True)
         if labels is None:
             labels = step2.select("node", F.col("to").alias("label"))
         else:
             follow = step2.select(F.col("node").alias("label"), "to")
             labels = labels.join(follow, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = stash(labels, "labels")
         discard(cur)
-        discard(step)
         cur = nxt
         if cur.isEmpty():
             discard(cur)

@@ -27,9 +27,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{stash_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a scan of what was written."""
+def stash(df: DataFrame, label: str, thin: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return a scan of what was written.
+
+    ``thin`` is for tables of a few numbers a row, such as links: a quarter as many files as there are shuffle
+    partitions holds them, and each file costs the store a few calls.
+    """
     spark = df.sparkSession
+    if thin:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
