@@ -186,7 +186,7 @@ def _residual(stars: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFram
             F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("n_left"),
         )
     )
-    member = stash(member.join(open_, "cluster"), "open")
+    member = stash(member.join(open_, "cluster"), "open", thin=True)
     spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     left = member.where("label <> main").select(
         "cluster", spread(F.col("n_left")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("j"),
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _near_duplicates(docs: DataFrame) -> DataFrame:
     sig = stash(docs.mapInArrow(_signatures, _SIGNATURE), "signatures")
     able = sig.where("n_shingles > 0 and doc_id is not null")
-    group = stash(able.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node")), "sets")
+    group = stash(able.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node")), "sets", thin=True)
 
     keys = able.join(group.select("node"), able.doc_id == group.node, "left_semi").select(
         F.col("doc_id").alias("node"), F.explode("bands").alias("key")
@@ -227,18 +227,18 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     bucket = stash(keys.join(shared.select("key", "n"), "key"), "buckets")
     weight = bucket.groupBy("node").agg(F.sum("n").alias("weight"))
-    weight = stash(weight, "weights")
+    weight = stash(weight, "weights", thin=True)
     centre = bucket.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
     stars = (
         bucket.join(centre, "key").select((-F.col("top.minus")).alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     )
-    stars = stash(stars, "stars")
+    stars = stash(stars, "stars", thin=True)
     texts = stash(docs.join(weight.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
     pairs = stars.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     edges = stash(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"), "links")
-    more = stash(_residual(stars, texts, components(edges)), "links")
+    more = stash(_residual(stars, texts, components(edges)), "links", thin=True)
     labels = components(edges.union(more))
 
     named = sig.select("doc_id", "n_shingles", "set_a", "set_b")
