@@ -130,13 +130,19 @@ def strip_controls(text: Column) -> Column:
 # --- similarity -------------------------------------------------------------------
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of ``a``."""
-    if a == b:
-        return len(a)
+def masks(a: str) -> dict[str, int]:
+    """Where each character stands in ``a``, a bit for each place."""
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
         at[ch] = at.get(ch, 0) | 1 << i
+    return at
+
+
+def common_length(a: str, b: str, at: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, a bit for each character of ``a``; ``at`` are its masks."""
+    if a == b:
+        return len(a)
+    at = masks(a) if at is None else at
     full = (1 << len(a)) - 1
     row = full
     for ch in b:
@@ -145,10 +151,10 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def ratio(a: str, b: str) -> float:
+def ratio(a: str, b: str, at: dict[str, int] | None = None) -> float:
     """Share of characters in a longest common subsequence, 0 to 100; two empty texts are alike."""
     total = len(a) + len(b)
-    return 200.0 * common_length(a, b) / total if total else 100.0
+    return 200.0 * common_length(a, b, at) / total if total else 100.0
 
 
 @F.pandas_udf(DoubleType())

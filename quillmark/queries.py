@@ -14,6 +14,7 @@ from .operators import figures as FG
 from .operators import layout as L
 from .operators import semantic as S
 from .operators import verbatim as V
+from .operators.alike import near_pairs
 from .plans.stash import stash
 from .sources import cache, reports
 
@@ -225,14 +226,24 @@ def _sentences(paras: DataFrame) -> DataFrame:
 
 @query()
 def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near sentences of items and documents that share a fingerprint, lines as paragraphs."""
-    pa, pb = (stash(_line_paragraphs(d), "paragraphs") for d in (_items(spark, sf_dir), _docs(spark, sf_dir)))
-    xa, xb = (stash(_sentences(p), "sentences") for p in (pa, pb))
+    """Near sentences of all items and all documents, lines as paragraphs.
+
+    Pairs are those with sentences alike enough, shared fingerprints or none; only their documents go on to runs.
+    """
+    known, items = V.phrases(spark), _items(spark, sf_dir)
+    pa = stash(_line_paragraphs(items), "paragraphs")
+    xa = stash(_sentences(pa), "sentences")
+    asked = xa.where(F.size(T.tokenize(F.col("text"))) >= P.min_sentence_tokens).select("doc_id", T.token_string(F.col("text")).alias("toks"))
+    asked = V.without_boilerplate(asked, "toks", known)
+    pairs = stash(near_pairs(asked, _docs(spark, sf_dir), P.min_sentence_tokens, P.near_threshold), "pairs")
+    met = _docs(spark, sf_dir).join(pairs.select(F.col("b_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    pb = stash(_line_paragraphs(met), "paragraphs")
+    xb = stash(_sentences(pb), "sentences")
     sa, sb = (stash(V.streams(p), "streams") for p in (pa, pb))
-    seeds = stash(V.seeds(V.usable(V.fingerprints(sa)), V.usable(V.fingerprints(sb))), "seeds")
-    runs = stash(V.score_runs(V.merge_runs(V.exact_runs(sa, sb, seeds)), sa, sb, V.phrases(spark)), "runs")
+    seeds = V.seeds(V.usable(V.fingerprints(sa)), V.usable(V.fingerprints(sb))).join(pairs, V.PAIR, "left_semi")
+    runs = stash(V.score_runs(V.merge_runs(V.exact_runs(sa, sb, stash(seeds, "seeds"))), sa, sb, known), "runs")
     covered = (V.sentence_coverage(x, s, runs, side) for x, s, side in ((xa, sa, "a"), (xb, sb, "b")))
-    return V.sentence_pairs(seeds.select(*V.PAIR).distinct(), xa, xb, *covered, V.phrases(spark))
+    return V.sentence_pairs(pairs, xa, xb, *covered, known)
 
 
 @query(
