@@ -185,15 +185,16 @@ def _join(blocks: list[Broadcast]):
                 for d, item in sorted(pairs):
                     items[d].append(item)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first).astype(np.int64)), spans, pa.array(items, pa.list_(pa.string()))],
-                    ["doc_id", "n_words", "spans", "items"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first).astype(np.int64)), spans, pa.array(items, pa.list_(pa.string()))]
+                    + [c.slice(lo, hi - lo) for c in batch.columns[2:]],
+                    ["doc_id", "n_words", "spans", "items", *batch.schema.names[2:]],
                 )
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, spans, items``.
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, hashed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_words, spans, items``, and ``text_hash`` if ``hashed``.
 
     Words are runs of ASCII letters and digits and characters beyond ASCII, A-Z lower-cased.
     ``spans`` are the word ranges (start, stop) covered by occurrences of item windows, merged where
@@ -202,7 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     items that repeat an id count once.  An empty benchmark leaves every document clean.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.xxhash64("text").alias("text_hash")] if hashed else []))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_bytes))
@@ -218,7 +219,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     for x, c in zip(indexes, counts, strict=True):
         x.order(c)
     ready = [spark.sparkContext.broadcast(x) for x in indexes]
-    return docs.mapInArrow(_join(ready), _SCHEMA)
+    return docs.mapInArrow(_join(ready), f"{_SCHEMA}, text_hash long" if hashed else _SCHEMA)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -233,5 +234,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` without a hit word, all columns as they are."""
-    hit = contamination(docs, benchmark).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    found = contamination(docs, benchmark, hashed=True).where(F.size("spans") > 0)
+    hit = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_hash"])
+    return docs.join(hit, same, "left_anti").select(*docs.columns)

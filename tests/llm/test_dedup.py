@@ -142,3 +142,10 @@ def test_contamination_matches_brute_force(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {k for k in found if not found[k].spans}
     assert decontaminate.contamination(docs, bench.where("false")).where("size(spans) > 0").count() == 0
     assert decontaminate.contamination(empty(spark), bench).count() == 0
+
+
+def test_contaminated_row_without_an_id_is_dropped(spark):
+    bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    rows = [(None, f"x {prose(1, 30)} y"), (None, prose(7, 30)), (None, None), (4, prose(1, 30)), (4, prose(8, 30)), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect()} == {rows[1], rows[2], rows[4], rows[5]}
