@@ -19,6 +19,7 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"  # of responses made from a table that has no date
 #: Elements whose text isn't shown, and elements that start a new line.
-HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object"}
+HIDDEN = {"script", "style", "noscript", "template", "svg", "iframe", "object"}
+#: Elements that can stand in a head; any other ends it, as its end tag may be left out.
+HEAD = {"html", "head", "title", "meta", "link", "base", "basefont", "bgsound", "noframes", "style", "script", "noscript", "template"}
 BREAKS = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
 #: Attributes that link, by element.
 LINKS = {"a": "href", "link": "href", "area": "href", "img": "src", "script": "src", "iframe": "src", "source": "src", "form": "action"}
@@ -99,8 +102,13 @@ class _Page(HTMLParser):
         self.links: list[dict[str, str]] = []
         self.hidden = 0
         self.in_title = False
+        self.in_head = False
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.in_head = True
+        elif tag not in HEAD and not self.hidden or tag in ("body", "main"):
+            self.in_head = False
         attrs = {k: v or "" for k, v in attrs}
         if tag == "title":
             self.in_title = True
@@ -127,6 +135,8 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title = False
+        elif tag == "head":
+            self.in_head = False
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
         elif tag in BREAKS:
@@ -135,7 +145,8 @@ class _Page(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        elif not self.hidden:
+        elif not self.hidden and (not self.in_head or data.strip()):
+            self.in_head = False
             self.parts.append(data)
 
 
@@ -163,6 +174,78 @@ def response(uri: str | None, key: str, payload: bytes, date: str = DATE) -> byt
     return serialize(headers, block)
 
 
+def _unchunked(data: bytes) -> bytes:
+    """The content of chunks; data that isn't chunked, as where a crawler undid it, is returned as it is."""
+    out, at = [], 0
+    while at < len(data):
+        stop = data.find(b"\r\n", at)
+        size = data[at : max(stop, at)].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        piece = data[stop + 2 : stop + 2 + n]
+        out.append(piece)
+        at = stop + 2 + n
+        if at < len(data) and data[at : at + 2] != b"\r\n":
+            return data
+        at += 2
+    return b"".join(out) if out else data  # a cut tail keeps what came before
+
+
+def _inflated(data: bytes, kind: str) -> bytes:
+    """The content of gzip members or a deflate stream, as far as it goes; other data as it is."""
+    if kind == "gzip":
+        if data[:2] != b"\x1f\x8b":
+            return data
+        tries = (31,)
+    else:
+        tries = (15, -15)
+    for bits in tries:
+        out, rest = [], data
+        try:
+            while rest:
+                part = zlib.decompressobj(bits)
+                out.append(part.decompress(rest))
+                rest = part.unused_data if bits == 31 and part.unused_data[:2] == b"\x1f\x8b" else b""
+            return b"".join(out)
+        except zlib.error:
+            if bits == 31:
+                return b"".join([*out, _as_far(rest)])
+    return data
+
+
+def _as_far(data: bytes) -> bytes:
+    """What a damaged gzip member still gives."""
+    part, out = zlib.decompressobj(31), []
+    try:
+        for i in range(0, len(data), 256):
+            out.append(part.decompress(data[i : i + 256]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _codings(http: Headers, name: str) -> list[str]:
+    """Codings in the order in which they are undone."""
+    found = [x.strip().lower().removeprefix("x-") for k, v in http if k.lower() == name for x in v.split(",")]
+    return [x for x in reversed(found) if x and x != "identity"]
+
+
+def decoded(http: Headers, payload: bytes) -> tuple[bytes, bytes | None]:
+    """The payload without transfer codings, and without content codings too: None for one unknown here."""
+    body: bytes | None = payload
+    for name in ("transfer-encoding", "content-encoding"):
+        for coding in _codings(http, name):
+            if body is None:
+                break
+            body = _unchunked(body) if coding == "chunked" else _inflated(body, coding) if coding in ("gzip", "deflate") else None
+        if name == "transfer-encoding":
+            sent = payload if body is None else body
+    return sent, body
+
+
 def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes, dict]]:
     """The conversion (for text payloads) and metadata records of a response, with facts for columns."""
     head, _, payload = block.partition(b"\r\n\r\n")
@@ -173,6 +256,7 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes, dict]]:
     source, uri, date = (value(headers, k) for k in ("WARC-Record-ID", "WARC-Target-URI", "WARC-Date"))
     digest = sha1(payload)
     given = value(headers, "WARC-Payload-Digest")
+    sent, content = decoded(http, payload)
     link = [("WARC-Refers-To", source or "")]
     if uri is not None:
         link += [("WARC-Target-URI", uri), ("WARC-Refers-To-Target-URI", uri)]
@@ -180,14 +264,14 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes, dict]]:
         link += [("WARC-Date", date), ("WARC-Refers-To-Date", date)]
     link.append(("WARC-Payload-Digest", given or digest))
     out, text, about = [], None, {}
-    if not kind or "html" in kind or kind.startswith("text/"):
+    if content is not None and (not kind or "html" in kind or kind.startswith("text/")):
         try:
-            body = payload.decode(charset[1] if charset else "utf-8", "replace")
+            body = content.decode(charset[1] if charset else "utf-8", "replace")
         except LookupError:
-            body = payload.decode("utf-8", "replace")
+            body = content.decode("utf-8", "replace")
         text, about = page_text(body) if not kind or "html" in kind else (body, {})
     ids = {k: record_id(source or "", k) for k in ("conversion", "metadata")}
-    facts = {"digest_ok": given in (None, digest), "n_links": len(about.get("links", [])), "title": about.get("title")}
+    facts = {"digest_ok": given in (None, digest) or sent is not payload and given == sha1(sent), "n_links": len(about.get("links", [])), "title": about.get("title")}
     if text is not None:
         raw = text.encode()
         made = [("WARC-Type", "conversion"), ("WARC-Record-ID", ids["conversion"]), *link, ("Content-Type", "text/plain; charset=utf-8"), ("WARC-Block-Digest", sha1(raw))]
@@ -240,8 +324,9 @@ def derivatives(source: DataFrame, key: str = "page_id") -> DataFrame:
     """Derived records, a row each, of the response records in ``key, record``.
 
     Columns hold the main headers, ``content`` the block as text and ``record`` the whole record.
-    Records of other types, null and damaged ones give none.  Responses with a payload that isn't
-    text give metadata only.  Repeated responses give repeated records.
+    Records of other types, null and damaged ones give none.  Chunked, gzip and deflate codings are
+    undone before the text is taken.  Responses with a payload that isn't text, or in another
+    coding, give metadata only.  Repeated responses give repeated records.
     """
     schema = _DERIVED.format(key=f"`{key}`", kind=source.schema[key].dataType.simpleString())
     names = [x.strip().split(" ")[0].strip("`") for x in schema.split(",")]

@@ -171,3 +171,33 @@ def test_warc_derivatives(spark, tmp_path):
     again = warc.read_warc(spark, str(tmp_path))
     assert again.count() == 6 and warc.derivatives(again, "source").count() == 12
     assert warc.derivatives(source.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<html><head><title>T</title><p>Hello", "Hello"), ("<head><title>T</title>Hello <b>you", "Hello you"), ("<head><meta name=a content=b><script>no</script>\n<style>no</style><div>Hello", "Hello"),
+    ("<head><noscript><p>no</noscript><title>T</title></head>Hello", "Hello"), ("<head><title>T</title><svg><text>no</text></svg>Hello", "Hello"),
+])
+def test_head_ends_without_its_tag(page, text):
+    assert warc.page_text(page)[0] == text
+
+
+def test_codings_are_undone(spark):
+    import gzip
+
+    page = ("<p>Grüße an alle" + " und viele Wörter" * 50).encode()
+    raw = zlib.compressobj(wbits=-15)
+    chunk = lambda x: b"".join(b"%x;a=b\r\n%s\r\n" % (len(x[i : i + 99]), x[i : i + 99]) for i in range(0, len(x), 99)) + b"0\r\n\r\n"
+    cases = [
+        ("Content-Encoding: gzip", gzip.compress(page)), ("content-encoding: x-gzip", gzip.compress(page[:40]) + gzip.compress(page[40:])), ("Content-Encoding: deflate", zlib.compress(page)),
+        ("Content-Encoding: deflate", raw.compress(page) + raw.flush()), ("Transfer-Encoding: chunked", chunk(page)), ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", chunk(gzip.compress(page))),
+        ("Transfer-Encoding: gzip, chunked", chunk(gzip.compress(page))), ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", page), ("Content-Encoding: identity", page), ("Content-Encoding: br", b"unknown"),
+    ]
+    rows = []
+    for i, (header, payload) in enumerate(cases):
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{header}\r\n\r\n".encode() + payload
+        digest = warc.sha1(gzip.compress(page) if i == 5 else payload)  # as the standard has it: transfer coding undone
+        rows.append((i, warc.serialize([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{i}>"), ("WARC-Payload-Digest", digest)], block)))
+    found = warc.derivatives(spark.createDataFrame(rows, "page_id long, record binary")).collect()
+    want = page.decode().removeprefix("<p>")
+    assert {r.page_id: r.content for r in found if r.warc_type == "conversion"} == dict.fromkeys(range(9), want)
+    assert len(found) == 19 and all(r.digest_ok for r in found)
