@@ -28,15 +28,49 @@ from pyspark.sql import functions as F
 from ..plans.stash import stash
 
 RANGE_ROWS = 1 << 14
+SAMPLER_ROWS = 1_000_000_000  # numpy's sampler takes fewer
 _ROW_BITS = 33  # of monotonically_increasing_id, below the partition
 
 
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` rows drawn from ``good`` and ``bad`` ones are good, for totals beyond numpy's sampler.
+
+    Inversion over twelve standard deviations around the mode, where ratios of neighbouring
+    probabilities need no factorials; what is beyond weighs less than rounding.
+    """
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    share = good / total if total else 0.0
+    reach = 50 + int(12 * np.sqrt(n * share * (1 - share) * ((total - n) / max(total - 1, 1))))
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.int64)
+    x = k[:-1].astype(float)
+    with np.errstate(divide="ignore"):
+        logs = np.log((good - x) / (x + 1)) + np.log((n - x) / (bad - n + x + 1))
+    weight = np.concatenate([[0.0], np.cumsum(logs)])
+    chance = np.cumsum(np.exp(weight - weight.max()))
+    return int(k[min(np.searchsorted(chance, rng.random() * chance[-1], side="right"), len(k) - 1)])
+
+
+def _draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """Counts by shard of ``n`` rows drawn from what the shards lack."""
+    total = int(left.sum())
+    if total < SAMPLER_ROWS:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
+    if len(left) == 1:
+        return np.array([n], np.int64)
+    half = len(left) // 2
+    good = int(left[:half].sum())
+    first = _hypergeometric(rng, good, total - good, n)
+    return np.concatenate([_draw(rng, left[:half], first), _draw(rng, left[half:], n - first)])
+
+
 def communication_matrix(rows: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
     """Counts (partitions, shards) with the given row and column sums, drawn as by a uniform shuffle."""
     rng = np.random.default_rng([seed, 0])
     left, out = sizes.astype(np.int64).copy(), np.zeros((len(rows), len(sizes)), np.int64)
     for i, n in enumerate(rows):
-        out[i] = rng.multivariate_hypergeometric(left, int(n), method="marginals")
+        out[i] = _draw(rng, left, int(n))
         left -= out[i]
     return out
 

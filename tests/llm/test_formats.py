@@ -201,3 +201,19 @@ def test_codings_are_undone(spark):
     want = page.decode().removeprefix("<p>")
     assert {r.page_id: r.content for r in found if r.warc_type == "conversion"} == dict.fromkeys(range(9), want)
     assert len(found) == 19 and all(r.digest_ok for r in found)
+
+
+def test_communication_matrix_beyond_numpys_sampler(monkeypatch):
+    rows = np.array([700_000_000, 0, 3_000_000_000, 5, 1_300_000_002])
+    sizes = sharding.shard_sizes(int(rows.sum()), 7)
+    got = sharding.communication_matrix(rows, sizes, 3)
+    assert (got.sum(axis=1) == rows).all() and (got.sum(axis=0) == sizes).all() and (got >= 0).all()
+    assert np.abs(got - rows[:, None] * sizes / rows.sum()).max() < 10 * 3e9**0.5
+    monkeypatch.setattr(sharding, "SAMPLER_ROWS", 0)  # the law, where it can be counted
+    from math import comb
+
+    for good, bad, n in ((7, 5, 6), (3, 40, 20), (1, 1, 2), (0, 9, 4), (9, 0, 4), (30, 2, 31)):
+        rng = np.random.default_rng(good)
+        seen = np.bincount([sharding._hypergeometric(rng, good, bad, n) for _ in range(4000)], minlength=n + 1) / 4000
+        assert np.abs(seen - [comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(n + 1)]).max() < 0.035
+    test_communication_matrix_sums_and_mean()
