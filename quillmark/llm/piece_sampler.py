@@ -8,7 +8,7 @@ A segmentation weighs the product of its pieces; piece with merge rank r weighs
 
 Where no piece has two neighbouring characters side by side, as before spaces and around newlines and most
 marks, the lattice falls apart, and chunks between such places are drawn independently.  Each distinct chunk is filtered once while
-it stays in a cache of fixed size; draws use a counter hash of (row key, chunk, step) and so do not
+it stays in a cache of fixed size, whose hits compare bytes; draws use a counter hash of (row key, chunk, step) and so do not
 depend on batches, partitions or the cache.
 
 Decoding is exact: characters without a piece, newlines, and a literal U+2581 go out as byte pieces,
@@ -25,30 +25,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import PIECE, buffers, mix, powers, slices
+from .textkit import PIECE, ByteTable, Grown, buffers, mix, range_hashes, slices
 
 THETA = 0.7
 _SPACE = 0x2581
 _LITERAL = 0x7FFFFFFF  # a literal U+2581, which no piece matches
-_HASH, _CHAR = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+_CHAR = 0xE7037ED1A0B428DB
 _CACHE_BITS, _CACHE_EDGES, _SIEVE = 20, 6 << 20, 19
 _CELLS = 1 << 18  # of lattices filtered together
 
 
-def _range_hash(codes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hash of ``codes[start:end]`` for ranges in ascending order, in pieces of about a MB."""
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, side="right")))
-        a, b = int(start[i]), int(end[i:j].max())
-        up, down = powers(base, b - a + 1)
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(mix(codes[a:b].astype(np.uint64) + np.uint64(1)) * up[: b - a], out=total[1:])
-        s, e = start[i:j] - a, end[i:j] - a
-        out[i:j] = mix((total[e] - total[s]) * down[s] ^ (e - s).astype(np.uint64))
-        i = j
-    return out
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_CHAR**i and _CHAR**-i modulo 2**64 for i in 0..n-1 at least."""
+    if not _powers or len(_powers[0][0]) < n:
+        made = []
+        for b in (_CHAR, pow(_CHAR, -1, 1 << 64)):
+            p = np.full(max(n, PIECE + 64), b, dtype=np.uint64)
+            p[0] = 1
+            made.append(np.multiply.accumulate(p))
+        _powers[:] = [tuple(made)]
+    return _powers[0]
+
+
+def _prefix(codes: np.ndarray) -> np.ndarray:
+    """Prefix sums from which ``_hash`` makes the hash of any range; ranges are as short as pieces."""
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * _power(len(codes) + 1)[0][: len(codes)], out=total[1:])
+    return total
+
+
+def _hash(total: np.ndarray, start: np.ndarray, k: int) -> np.ndarray:
+    return mix((total[start + k] - total[start]) * _power(len(total))[1][start] ^ np.uint64(k))
 
 
 class Pieces:
@@ -88,28 +98,13 @@ class Pieces:
         self.by_length = {}
         for k, found in sorted(by_length.items()):
             codes = np.frombuffer("".join(p for p, _ in found).encode("utf-32-le"), np.uint32)
-            start = np.arange(len(found)) * k
-            key = _range_hash(codes, start, start + k, _CHAR)
+            key = _hash(_prefix(codes), np.arange(len(found)) * k, k)
             order = np.argsort(key)
             mask = np.zeros(1 << _SIEVE, bool)
             mask[(key >> np.uint64(64 - _SIEVE)).astype(np.int64)] = True
             self.by_length[k] = (mask, key[order], np.array([i for _, i in found])[order])
 
 
-class Grown:
-    """An array that grows at its end without being copied each time."""
-
-    def __init__(self, kind, start=()):
-        self.a, self.n = np.zeros(1 << 12, kind), 0
-        self.add(np.array(start, kind))
-
-    def add(self, x: np.ndarray) -> None:
-        if self.n + len(x) > len(self.a):
-            self.a = np.concatenate([self.a[: self.n], np.zeros(self.n + 2 * len(x), self.a.dtype)])
-        self.a[self.n : self.n + len(x)] = x
-        self.n += len(x)
-
-
 class Sampler:
     """Draws segmentations; keeps the filtered lattices of chunks."""
 
@@ -122,8 +117,7 @@ class Sampler:
         self._clear()
 
     def _clear(self) -> None:
-        self.key = np.zeros(1 << _CACHE_BITS, np.uint64)
-        self.value = np.zeros(1 << _CACHE_BITS, np.int64)
+        self.known = ByteTable(_CACHE_BITS)
         self.last = Grown(np.int32)  # end node of each chunk; a node is a place after its start
         self.first = Grown(np.int32)  # first edge into each node
         self.cdf, self.source, self.code = Grown(np.float32), Grown(np.int32), Grown(np.int32)  # of edges
@@ -146,14 +140,12 @@ class Sampler:
         for lo in range(0, n, PIECE):
             hi = min(lo + PIECE, n)
             stop = min(hi + most, n)
-            up, down = powers(_CHAR, stop - lo + 1)
-            total = np.zeros(stop - lo + 1, np.uint64)
-            np.cumsum(mix(codes[lo:stop].astype(np.uint64) + np.uint64(1)) * up[: stop - lo], out=total[1:])
+            total = _prefix(codes[lo:stop])
             i, room = np.arange(hi - lo), end_of[lo:hi] - np.arange(lo, hi)
             for k, (mask, keys, ids) in self.p.by_length.items():
                 fits = room >= k
                 i, room = i[fits], room[fits]
-                h = mix((total[i + k] - total[i]) * down[i] ^ np.uint64(k))
+                h = _hash(total, i, k)
                 near = np.flatnonzero(mask[(h >> np.uint64(64 - _SIEVE)).astype(np.int64)])
                 h, near = h[near], i[near]
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
@@ -233,17 +225,13 @@ class Sampler:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         if self.cdf.n > _CACHE_EDGES:
             self._clear()
-        h = _range_hash(buf, s, e, _HASH)
-        slot = (h >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-        chunk = np.where(self.key[slot] == h, self.value[slot], -1)
+        h = range_hashes(buf, s, e)
+        chunk = self.known.find(h, buf, s, e)
         miss = np.flatnonzero(chunk < 0)
         if len(miss):
-            kinds, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            raw, base = buf.tobytes(), self.last.n
-            self._filter([raw[s[i] : e[i]] for i in miss[first]])
-            chunk[miss] = base + back
-            where = (kinds >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-            self.key[where], self.value[where] = kinds, base + np.arange(len(kinds))
+            chunk[miss], reps = self.known.add(h[miss], buf, s[miss], e[miss])
+            raw = buf.tobytes()
+            self._filter([raw[s[i] : e[i]] for i in miss[reps]])
         owner = np.searchsorted(off, s, side="right") - 1
         rank = np.arange(len(s)) - np.searchsorted(s, off[:-1])[owner]
         salt = mix(seeds[owner] + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

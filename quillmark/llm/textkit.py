@@ -1,7 +1,7 @@
 """Words and word windows of Arrow text batches, as numpy arrays.
 
 Texts stay in Arrow's UTF-8 buffers.  Word boundaries come from a byte table and word hashes from
-wrapping prefix sums, so no Python object is made per word.  Work goes in slices of a few MB and
+blocks of eight bytes, so no Python object is made per word.  Work goes in slices of a few MB and
 pieces of some hundred kB, whatever the batch or the longest text.
 """
 
@@ -15,11 +15,11 @@ import pyarrow as pa
 
 PIECE = 1 << 18
 SLICE = 1 << 19
-_BASE, _GRAM = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_RAW = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_KEEP_CASE, _LOWER_CASE = _RAW, _RAW[_FOLD]
+#: Bytes with A-Z as a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+_MASK = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)
+_LENGTH, _PLACE, _JOIN, _TURN = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 #: Bytes of a word: all but space, tab, newline, vertical tab, form feed and carriage return.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -28,24 +28,6 @@ NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i in 0..n-1 at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, PIECE + 1)
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        if n > 8 * PIECE:  # one enormous word: not kept
-            return tuple(made)
-        _powers[base] = tuple(made)
-    return _powers[base]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))
@@ -95,12 +77,106 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes ``buf[start:end]`` of every range, none of them empty.
+
+    Eight bytes at a time go through ``mix``, with their place, before anything is added up: up to eight bytes
+    of one length never collide, and longer ranges do so by chance alone, whatever their pattern.
+    """
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    out = mix((eight[start] & _MASK[np.minimum(size, 8)]) + size.astype(np.uint64) * _LENGTH)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8  # blocks after the first
+        first = np.cumsum(more) - more
+        nth = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(start[long], more) + 8 * nth
+        block = eight[at] & _MASK[np.minimum(np.repeat(end[long], more) - at, 8)]
+        out[long] = join(out[long], np.add.reduceat(mix(block + nth.astype(np.uint64) * _PLACE), first))
+    return out
+
+
+def same_bytes(a: np.ndarray, start_a: np.ndarray, end_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> np.ndarray:
+    """Whether the bytes ``a[start_a:end_a]`` and ``b[start_b:end_b]`` of every pair of ranges are equal."""
+    size = end_a - start_a
+    same = size == end_b - start_b
+    live = np.flatnonzero(same & (size > 0))
+    if len(live):
+        count = (size[live] + 7) // 8
+        first = np.cumsum(count) - count
+        nth = 8 * (np.arange(int(count.sum())) - np.repeat(first, count))
+        mask = _MASK[np.minimum(np.repeat(size[live], count) - nth, 8)]
+        sides = []
+        for buf, start in ((a, start_a), (b, start_b)):
+            padded = np.zeros(len(buf) + 8, np.uint8)
+            padded[: len(buf)] = buf
+            sides.append(np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))[np.repeat(start[live], count) + nth] & mask)
+        same[live] = ~np.logical_or.reduceat(sides[0] != sides[1], first)
+    return same
+
+
+class Grown:
+    """An array that grows at its end without being copied each time."""
+
+    def __init__(self, kind, start=()):
+        self.a, self.n = np.zeros(1 << 12, kind), 0
+        self.add(np.array(start, kind))
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.a):
+            self.a = np.concatenate([self.a[: self.n], np.zeros(self.n + 2 * len(x), self.a.dtype)])
+        self.a[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
+class ByteTable:
+    """Numbers of byte strings, in a direct-mapped table of fixed size; strings are compared, not their hashes alone."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.key, self.value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1)
+        self.bytes, self.start, self.end = Grown(np.uint8), Grown(np.int64), Grown(np.int64)
+
+    def find(self, hashed: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each string, or -1 where it isn't in the table."""
+        slot = (hashed >> np.uint64(64 - self.bits)).astype(np.int64)
+        got = np.where(self.key[slot] == hashed, self.value[slot], -1)
+        hit = np.flatnonzero(got >= 0)
+        # of one length up to eight bytes, equal hashes are equal bytes
+        at = got[hit]
+        size = end[hit] - start[hit]
+        same = size == self.end.a[at] - self.start.a[at]
+        long = np.flatnonzero(same & (size > 8))
+        same[long] = same_bytes(buf, start[hit[long]], end[hit[long]], self.bytes.a[: self.bytes.n], self.start.a[at[long]], self.end.a[at[long]])
+        got[hit[~same]] = -1
+        return got
+
+    def add(self, hashed: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """New numbers of some strings, equal ones alike, and where the first of each new number stands."""
+        kinds, first, back = np.unique(hashed, return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~same_bytes(buf, start, end, buf, start[first[back]], end[first[back]]))
+        number = self.start.n + back
+        number[odd] = self.start.n + len(first) + np.arange(len(odd))
+        reps = np.concatenate([first, odd])
+        slot = (hashed[reps] >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.key[slot], self.value[slot] = hashed[reps], self.start.n + np.arange(len(reps))
+        size = end[reps] - start[reps]
+        ends = np.cumsum(size)
+        self.bytes.add(buf[np.repeat(start[reps] - ends + size, size) + np.arange(int(size.sum()))])
+        base = self.bytes.n - int(size.sum())
+        self.start.add(base + ends - size)
+        self.end.add(base + ends)
+        return number, reps
+
+
 def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray, lower: bool, kinds: np.ndarray | None = None) -> Words:
     """Words of the texts ``buf[off[i]:off[i+1]]``; with ``lower`` A-Z count as a-z.
 
     ``kinds`` gives bytes a kind, and cuts words where kinds 1 and 2 meet.
     """
-    values = _LOWER_CASE if lower else _KEEP_CASE
     begin, stop = int(off[0]), int(off[-1])
     starts, ends, hashes = [], [], []
     lo = begin
@@ -129,13 +205,9 @@ def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray, lower: bool, ki
             after[:-1] &= ~meet
         s = np.flatnonzero(inside & ~before)
         e = np.flatnonzero(inside & ~after) + 1
-        up, down = powers(_BASE, len(b) + 1)
-        total = np.empty(len(b) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(values[b] * up[: len(b)], out=total[1:])
         starts.append(s + lo)
         ends.append(e + lo)
-        hashes.append(mix((total[e] - total[s]) * down[s]))
+        hashes.append(range_hashes(FOLD[b] if lower else b, s, e))
         lo = hi
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
@@ -143,19 +215,34 @@ def words(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray, lower: bool, ki
     return Words(start, end, hashed, np.searchsorted(start, off))
 
 
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order; not linear in either, so no pattern of words cancels out."""
+    x = a * _JOIN
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= _TURN
+    x ^= x >> np.uint64(29)
+    return x
+
+
 def grams(hashed: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every window of k consecutive words, over text boundaries too."""
+    """Hash of every window of k consecutive words, over text boundaries too; windows are joined by doubling."""
     n = len(hashed) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
     for lo in range(0, n, PIECE):
         hi = min(lo + PIECE, n)
-        up, down = powers(_GRAM, hi - lo + k)
-        total = np.empty(hi - lo + k, np.uint64)
-        total[0] = 0
-        np.cumsum(hashed[lo : hi + k - 1] * up[: hi - lo + k - 1], out=total[1:])
-        out[lo:hi] = mix((total[k:] - total[: hi - lo]) * down[: hi - lo])
+        double, width, whole, have = hashed[lo : hi + k - 1], 1, None, 0
+        while True:
+            if k & width:
+                whole = double if whole is None else join(whole[: len(double) - have], double[have:])
+                have += width
+            if have == k:
+                break
+            double = join(double[:-width], double[width:])
+            width *= 2
+        out[lo:hi] = mix(whole[: hi - lo])
     return out
 
 

@@ -4,8 +4,8 @@ All blocks share one frequency table, made from the counts of every id in the co
 whole documents, about ``BLOCK`` ids, and decodes alone.  Id i of a block belongs to lane
 i mod lanes; the lanes are independent coders that interleave their 32-bit words in one stream, so a
 step codes one id per lane with a handful of numpy operations.  Every ``EVERY`` steps a checkpoint
-keeps all coder states and the place in the stream, from which a decoder may start: segments of a
-block decode in parallel.  A block ends with the CRC-32 of what precedes it, and its coders must
+keeps all coder states and the place in the stream, from which a decoder may start: the reader decodes
+the segments of a block side by side, as more lanes.  A block ends with the CRC-32 of what precedes it, and its coders must
 end in their first state.
 
 Container: Parquet files in doc_id order, a row for each block (``part, seq, first_doc_id, n_docs,
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stash import discard, stash
-from .textkit import NOT_SPACE, buffers, slices, words
+from .textkit import FOLD, NOT_SPACE, ByteTable, Grown, buffers, range_hashes, slices, words
 
 END_ID = 2
 BITS = 20
@@ -57,8 +57,8 @@ class ChunkEncoder:
 
     Only white space and ``_CUTS`` separate what the tokenizer looks at together, and it drops white
     space and case, so a text's ids are those of its chunks.  The library encodes each distinct chunk
-    once while it stays in a direct-mapped cache of fixed size; many go in one call, with a
-    character between them that no chunk has.
+    once while it stays in a direct-mapped cache of fixed size, whose hits compare bytes; many go in one
+    call, with a character between them that no chunk has.
     """
 
     def __init__(self, path: str):
@@ -71,9 +71,8 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.key = np.zeros(1 << _CACHE_BITS, np.uint64)
-        self.value = np.zeros(1 << _CACHE_BITS, np.int64)
-        self.flat, self.off = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.known = ByteTable(_CACHE_BITS)
+        self.flat, self.off = Grown(np.uint16), Grown(np.int64, [0])
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,28 +97,28 @@ class ChunkEncoder:
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and each text's first id (one more offset than texts)."""
         w = words(buf, off, NOT_SPACE, True, _CUTS)
+        seen = FOLD[buf]
         special = np.flatnonzero(buf[off[0] : off[-1]] == 0x3C) + off[0]
         if len(special):  # case counts in the names of special tokens
             own = np.unique(np.searchsorted(w.start, special, side="right") - 1)
-            w.hash[own] = words(buf, off, NOT_SPACE, False, _CUTS).hash[own] ^ np.uint64(0x5BD1E995)
-        if len(self.flat) > _CACHE_IDS:
+            size = w.end[own] - w.start[own]
+            at = np.repeat(w.start[own] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            seen[at] = buf[at]
+            w.hash[own] = range_hashes(seen, w.start[own], w.end[own])
+        if max(self.flat.n, self.known.bytes.n >> 2) > _CACHE_IDS:
             self._clear()
-        slot = (w.hash >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-        chunk = np.where(self.key[slot] == w.hash, self.value[slot], -1)
+        chunk = self.known.find(w.hash, seen, w.start, w.end)
         miss = np.flatnonzero(chunk < 0)
         if len(miss):
-            kinds, first, back = np.unique(w.hash[miss], return_index=True, return_inverse=True)
-            raw, at = buf.tobytes(), miss[first]
+            chunk[miss], reps = self.known.add(w.hash[miss], seen, w.start[miss], w.end[miss])
+            raw, at = buf.tobytes(), miss[reps]
             ids, size = self._encode_chunks([raw[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
-            base = len(self.off) - 1
-            self.flat = np.concatenate([self.flat, ids])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(size)])
-            chunk[miss] = base + back
-            at = (kinds >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-            self.key[at], self.value[at] = kinds, base + np.arange(len(kinds))
-        size = self.off[chunk + 1] - self.off[chunk]
+            self.off.add(self.flat.n + np.cumsum(size))
+            self.flat.add(ids)
+        begin = self.off.a[chunk]
+        size = self.off.a[chunk + 1] - begin
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.off[chunk] - total[:-1], size) + np.arange(total[-1])]
+        ids = self.flat.a[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
         return ids, total[w.first]
 
 
@@ -190,25 +189,43 @@ def encode_ids(table: Table, ids: np.ndarray, lanes: int):
     return stream, x, [(t, len(stream) - after, state) for t, after, state in reversed(marks)]
 
 
-def decode_ids(table: Table, stream: np.ndarray, x: np.ndarray, n: int, lanes: int, begin: int = 0, at: int = 0, end: int | None = None):
-    """Ids of the steps from ``begin`` to ``end``, and the states after them."""
+def decode_ids(table: Table, stream: np.ndarray, starts: list[tuple[int, int, np.ndarray]], n: int, lanes: int) -> np.ndarray:
+    """All ids, from the start and every checkpoint (step, word, states) at once.
+
+    The segments between checkpoints are decoded side by side, each with its own states and place in the
+    stream.  A segment must end in the states of the next, and the last in the coders' first state.
+    """
     steps = -(-n // lanes)
-    end = steps if end is None else end
-    out = np.empty(min(n, end * lanes) - begin * lanes, np.uint16)
-    mask, x, at_out = np.uint64((1 << BITS) - 1), x.copy(), 0
-    for t in range(begin, end):
-        m = min(lanes, n - t * lanes)
-        y = x[:m]
+    if not steps:
+        return np.zeros(0, np.uint16)
+    begin = np.array([t for t, _, _ in starts])
+    length = np.diff(np.append(begin, steps))
+    at = np.array([w for _, w, _ in starts])
+    x = np.stack([state for _, _, state in starts]).astype(np.uint64)
+    want = np.concatenate([x[1:], np.full((1, lanes), _LOW)])
+    out = np.zeros((steps, lanes), np.uint16)
+    mask = np.uint64((1 << BITS) - 1)
+    for k in range(int(length.max())):
+        on = np.flatnonzero(length > k)
+        y = x[on]
         slot = y & mask
         s = table.symbol[slot.astype(np.int64)]
-        out[at_out : at_out + m] = s
-        at_out += m
         y = table.freq[s] * (y >> np.uint64(BITS)) + slot - table.first[s]
-        need = np.flatnonzero(y < _LOW)
-        y[need] = (y[need] << np.uint64(32)) | stream[at : at + len(need)].astype(np.uint64)
-        at += len(need)
-        x[:m] = y
-    return out, x
+        need = y < _LOW
+        idle = None
+        if on[-1] == len(starts) - 1 and k == length[-1] - 1 and n % lanes:  # lanes without an id in the last step
+            idle = n % lanes
+            need[-1, idle:] = False
+        place = at[on, None] + np.cumsum(need, axis=1) - need
+        y[need] = (y[need] << np.uint64(32)) | stream[place[need]].astype(np.uint64)
+        at[on] += need.sum(axis=1)
+        out[begin[on] + k] = s
+        if idle is not None:
+            y[-1, idle:] = x[on[-1], idle:]
+        x[on] = y
+    if (x != want).any():
+        raise ValueError("coders did not end where they should")
+    return out.reshape(-1)[:n]
 
 
 def pack_block(table: Table, doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -250,17 +267,12 @@ class Block:
             self.marks.append((int(t), int(place), take("<u8", self.lanes)))
         self.stream = take("<u4", n_words)
 
-    def segments(self) -> list[tuple[int, int, int | None, np.ndarray]]:
-        """(first step, word, end step, states) of parts that decode independently."""
-        starts = [(0, 0, self.states), *self.marks]
-        ends = [m[0] for m in self.marks] + [None]
-        return [(t, at, end, state) for (t, at, state), end in zip(starts, ends, strict=True)]
+    def starts(self) -> list[tuple[int, int, np.ndarray]]:
+        """(step, word, states) from which parts decode independently."""
+        return [(0, 0, self.states), *self.marks]
 
     def decode(self, table: Table) -> np.ndarray:
-        ids, x = decode_ids(table, self.stream, self.states, self.n, self.lanes)
-        if (x != _LOW).any():
-            raise ValueError("coders did not end where they began")
-        return ids
+        return decode_ids(table, self.stream, self.starts(), self.n, self.lanes)
 
 
 # --- over a corpus ----------------------------------------------------------------
@@ -330,7 +342,12 @@ _BLOCKS = "part int, seq long, first_doc_id long, n_docs long, n_tokens long, bl
 
 
 def write_blocks(docs: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataFrame]:
-    """Tokenize ``doc_id, text`` and write the blocks and the table; both as read from their files."""
+    """Tokenize ``doc_id, text`` and write the blocks and the table; both as read from their files.
+
+    Rows stand in doc_id order, those without one first.  Every text ends with id 2; a null or empty text is that
+    id alone.  Rows that repeat others are written each; an empty input gives no blocks and an empty table.
+    Other columns are ignored.  A document stays in one block however long it is.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     coded = stash(docs.mapInArrow(_tokenize(tokenizer_path), "doc_id long, ids binary"), "ids")
@@ -339,7 +356,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str) -> tuple[DataFrame, DataF
     stored = stash(spark.createDataFrame([(int(t), int(f)) for t, f in zip(table.tokens, table.freqs, strict=True)], "token int, freq long"), "table")
     shared = spark.sparkContext.broadcast((table.tokens, table.freqs))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    keys = ["doc_id", F.xxhash64("ids")]  # the hash splits rows that share an id, or have none
+    order = coded.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
     blocks = stash(order.mapInArrow(_encoder(shared), _BLOCKS), "blocks")
     discard(coded)
     return blocks, stored

@@ -4,15 +4,16 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
-from helpers import ODD, empty, prose, table
+from helpers import ODD, empty, prose, table, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillmark.llm import piece_sampler, sharding, token_store, warc
+from quillmark.llm import piece_sampler, sharding, textkit, token_store, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,11 +27,63 @@ def test_coder_round_trip(ids, lanes):
     t = token_store.Table(tokens, counts)
     assert t.freqs.sum() == 1 << token_store.BITS and (t.freqs > 0).all()
     stream, x, marks = token_store.encode_ids(t, ids, lanes)
-    back, end = token_store.decode_ids(t, stream, x, len(ids), lanes)
-    assert (back == ids).all() and (end == 1 << 31).all()
-    for step, at, state in marks:
-        part, _ = token_store.decode_ids(t, stream, state, len(ids), lanes, step, at)
-        assert (part == ids[step * lanes :]).all()
+    starts = [(0, 0, x), *marks]
+    assert (token_store.decode_ids(t, stream, starts, len(ids), lanes) == ids).all()
+    for i in range(len(starts)):  # a decoder may start at any checkpoint, or use a few of them
+        step, at, _ = starts[i]
+        later = [(a - step, b - at, c) for a, b, c in starts[i::2]]
+        assert (token_store.decode_ids(t, stream[at:], later, len(ids) - step * lanes, lanes) == ids[step * lanes :]).all()
+    if marks:
+        bad = [(t_, at, s + np.uint64(1)) if i == len(starts) - 1 else (t_, at, s) for i, (t_, at, s) in enumerate(starts)]
+        with pytest.raises(ValueError):
+            token_store.decode_ids(t, stream, bad, len(ids), lanes)
+
+
+def thue_morse(order, a="a", b="b"):
+    x, y = a, b
+    for _ in range(order):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_strings_that_defeat_polynomial_hashes(spark):
+    x, y = thue_morse(10)
+    long = ["a" * 5000 + x, "a" * 5000 + y, "b" * 100_000 + x]
+    texts = [x, y, x + " " + y, y.upper(), *long]
+    library = Tokenizer.from_file(WORD_BPE)
+    rows = token_store.read_blocks(*token_store.write_blocks(table(spark, texts), WORD_BPE)).where("doc_id is not null").collect()
+    assert {r.doc_id: r.ids for r in rows} == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    coded = piece_sampler.decode(piece_sampler.encode(table(spark, texts), PIECES), PIECES).collect()
+    assert all(r.decoded == r.text for r in coded)
+    hashed = textkit.words(*textkit.buffers(pa.array(texts)), textkit.NOT_SPACE, False).hash
+    assert len(set(hashed.tolist())) == 6  # the third text repeats two words
+
+
+def test_equal_hashes_of_other_bytes_are_told_apart():
+    known = textkit.ByteTable(4)
+    buf = np.frombuffer(b"abcdefghi abcdefghj xy", np.uint8)
+    start, end = np.array([0, 10, 20, 0]), np.array([9, 19, 22, 9])
+    same = np.full(4, 7, np.uint64)
+    number, reps = known.add(same, buf, start, end)
+    assert number[0] == number[3] and len(set(number.tolist())) == 3 and sorted(reps.tolist()) == [0, 1, 2]
+    got = known.find(same, buf, start, end)
+    assert set(got.tolist()) <= {-1, *number.tolist()} and all(g in (-1, n) for g, n in zip(got, number))
+
+
+@pytest.mark.parametrize("piece", [3, 7, 64])
+def test_pieces_and_slices_do_not_show(monkeypatch, piece):
+    texts = [*[t or "" for t in ODD], prose(1, 200), "x" * 300 + " y", "", prose(2, 30)]
+    buf, off = textkit.buffers(pa.array(texts))
+    whole = [textkit.words(buf, off, mask, fold) for mask in (textkit.NOT_SPACE, textkit.ALNUM) for fold in (False, True)]
+    grams = [textkit.grams(whole[0].hash, k) for k in (1, 2, 3, 5, 7, 25, 50)]
+    monkeypatch.setattr(textkit, "PIECE", piece)
+    cut = [textkit.words(buf, off, mask, fold) for mask in (textkit.NOT_SPACE, textkit.ALNUM) for fold in (False, True)]
+    for a, b in zip(whole, cut):
+        assert all((getattr(a, k) == getattr(b, k)).all() for k in ("start", "end", "hash", "first"))
+    assert all((a == textkit.grams(whole[0].hash, k)).all() for a, k in zip(grams, (1, 2, 3, 5, 7, 25, 50)))
+    want = [m.encode() for t in texts for m in words(t, fold=False)]
+    raw = buf.tobytes()
+    assert [raw[a:b] for a, b in zip(whole[0].start, whole[0].end)] == want
 
 
 def test_damaged_block_is_noticed():
