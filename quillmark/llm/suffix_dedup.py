@@ -6,17 +6,21 @@ windows of 25 words inside it are hashed and the leftmost least is its anchor.
 on the window's words alone, so equal windows have the same anchor at the same offset, and about
 one position in thirteen is retained.
 
-1. Suffixes are sorted by range over the cluster: by the 25 words at the anchor, the 25 words to
-   the right, the 25 to the left, then place.  A sort range may end inside a group of equal
-   suffixes, so no group has to fit in a task.
+1. Suffixes are sorted by range over the cluster, in blocks of 25 words as symbols: the block at the anchor,
+   the one to its right, the one to its left, then place.  The order of blocks is that of their hashes,
+   which serves as well as any, for all that is asked of neighbours is how far they agree.  A sort
+   range may end inside a group of equal suffixes, so no group has to fit in a task.
 2. Neighbours are compared in a stream.  Words to the right and left that agree in full extend the
    match over all windows of the anchor; the later place is a repeat of the first.
-3. Neighbours that agree at the anchor and not in full are extended word by word: the first place
-   of each such class comes back with its text, and each window around the anchor is compared
-   by the hash of its 50 words.  The ends of a sort range take this way too.
+3. Neighbours that agree at the anchor and not in full have to be extended word by word to both sides, and with
+   all classes of the anchor, for the longest match to the right and that to the left may be with different ones.
+   So the first place of each class comes back with its text, and meets the others in every window around the
+   anchor, o words to the left and 25 - o to the right, by the hash of its words.  The ends of a sort range
+   take this way too.
 
 A word is repeated if a 50-word window over it has an equal window at an earlier place, places
-ordered by (doc_id, word).  Repeats that touch are one span.
+ordered by (doc_id, row, word).  Repeats that touch are one span.  Only first places keep a passage, so of
+passages that differ in their last word the shared part alone goes.
 """
 
 from __future__ import annotations
@@ -28,29 +32,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.stash import stash
-from .textkit import NOT_SPACE, Words, buffers, grams, mix, powers, slices, words
+from ..plans.stash import discard, fresh, numbered, stash
+from .textkit import NOT_SPACE, Words, buffers, grams, slices, words
 
 LENGTH = 50
 GRAM = 25
 SPAN = LENGTH - GRAM + 1  # windows of GRAM words in one of LENGTH
-_GRAM_BASE = 0xD6E8FEB86659FD93
+_LAST = (1 << 63) - 1  # sorts rows without a doc_id last
 
-_SUFFIX = "gram long, right long, left long, doc_id long, pos long, lo long, hi long"
-_FOUND = "open boolean, doc_id long, lo long, hi long, first_doc_id long"
+_SUFFIX = "gram long, right long, left long, doc long, row long, pos long, lo long, hi long"
+_FOUND = "open boolean, row long, lo long, hi long, doc long, from_doc long, from_row long, from_lo long"
+_PLACE = "hash long, doc long, row long, pos long"
 
 
-def _range_hash(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of the words a..b-1, their number included, from wrapping prefix sums."""
-    _, down = powers(_GRAM_BASE, len(total))
-    return mix(((total[b] - total[a]) * down[a]) ^ ((b - a).astype(np.uint64) << np.uint64(56)))
+def anchors(g: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, anchor, and first and last window start of every anchor.
 
-
-def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, anchor, and first and last window start of every anchor (word numbers over all texts)."""
-    g = grams(w.hash, GRAM)
+    ``g`` are the hashes of all windows of ``GRAM`` words, text i has the words ``first[i]`` and the ``size[i]`` from there.
+    """
     n = len(g) - SPAN + 1
-    if n <= 0:
+    if n <= 0 or size.max(initial=0) < LENGTH:
         return (np.zeros(0, np.int64),) * 4
     at, value, width = np.arange(len(g)), g, 1
     while 2 * width <= SPAN:
@@ -60,10 +61,9 @@ def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         width *= 2
     shift = SPAN - width
     at = np.where(value[:n] <= value[shift : shift + n], at[:n], at[shift : shift + n])
-    size = np.diff(w.first)
     count = np.maximum(size - LENGTH + 1, 0)
     doc = np.repeat(np.arange(len(size)), count)
-    q = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(w.first[:-1], count)
+    q = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
     p = at[q]
     new = np.ones(len(q), bool)
     new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
@@ -72,35 +72,42 @@ def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return doc[head], p[head], q[head], q[tail]
 
 
+def suffixes(w: Words) -> tuple[np.ndarray, ...]:
+    """gram, right, left, text, anchor, first and last window start of every retained suffix; places within the text.
+
+    Between texts stand ``GRAM`` marks that no word equals, so contexts that a text's end cuts short differ from others.
+    """
+    size = np.diff(w.first)
+    first = w.first[:-1] - w.first[0] + GRAM * (np.arange(len(size)) + 1)
+    padded = np.zeros(int(size.sum()) + GRAM * (len(size) + 1), np.uint64)
+    padded[np.arange(int(size.sum())) + np.repeat(first - w.first[:-1] + w.first[0], size)] = w.hash
+    g = grams(padded, GRAM)
+    doc, p, q0, q1 = anchors(g, first, size)
+    base = first[doc]
+    return g[p], g[p + GRAM], g[p - GRAM], doc, p - base, q0 - base, q1 - base
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in _SUFFIX.split(", ")]
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        buf, off = buffers(batch.column(1))
+        rows, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        buf, off = buffers(batch.column(2))
         for lo, hi in slices(off):
-            w = words(buf, off[lo : hi + 1], NOT_SPACE, False)
-            doc, p, q0, q1 = anchors(w)
-            up, _ = powers(_GRAM_BASE, len(w.hash) + 1)
-            total = np.empty(len(w.hash) + 1, np.uint64)
-            total[0] = 0
-            np.cumsum(w.hash * up[: len(w.hash)], out=total[1:])
-            base, end = w.first[doc], w.first[doc + 1]
-            gram = _range_hash(total, p, p + GRAM)
-            right = _range_hash(total, p + GRAM, np.minimum(p + LENGTH, end))
-            left = _range_hash(total, np.maximum(p - GRAM, base), p)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.view(np.int64)) for x in (gram, right, left)] + [pa.array(x) for x in (ids[lo:hi][doc], p - base, q0 - base, q1 - base)],
-                ["gram", "right", "left", "doc_id", "pos", "lo", "hi"],
-            )
+            gram, right, left, text, *places = suffixes(words(buf, off[lo : hi + 1], NOT_SPACE, False))
+            keys = [x.view(np.int64) for x in (gram, right, left)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, docs[lo:hi][text], rows[lo:hi][text], *places)], names)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each suffix with the one before it; at most one suffix is kept between batches."""
+    """Compare each suffix with the one before it; at most one suffix is kept between batches.
 
-    def out(open_: bool, doc, lo, hi, first) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(doc), open_)), pa.array(doc), pa.array(lo), pa.array(hi), pa.array(first)],
-            ["open", "doc_id", "lo", "hi", "first_doc_id"],
-        )
+    A suffix that agrees with the first of its class in 75 words gives all its windows, with the place of the
+    first window in that one; the first of a class gives them as open ones if its gram has other classes.
+    """
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+
+    def out(open_: bool, row, lo, hi, doc, from_doc, from_row, from_lo) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), open_)), *(pa.array(x) for x in (row, lo, hi, doc, from_doc, from_row, from_lo))], names)
 
     head = None  # the first suffix of the class that the last batch ended in
     pending = True  # it hasn't been given out
@@ -111,15 +118,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = head is None
         if not begins:
             cols = np.concatenate([head[:, None], cols], axis=1)
-        gram, right, left, doc, pos, lo, hi = cols
+        gram, right, left, doc, row, pos, lo, hi = cols
         group = np.ones(cols.shape[1], bool)
         group[1:] = gram[1:] != gram[:-1]
         klass = group.copy()
         klass[1:] |= (right[1:] != right[:-1]) | (left[1:] != left[:-1])
         at = np.flatnonzero(klass)
-        mine = at[np.cumsum(klass) - 1]
-        again = ~klass & ((doc != doc[mine]) | (pos != pos[mine]))
-        yield out(False, doc[again], lo[again], hi[again], doc[mine][again])
+        again = np.flatnonzero(~klass)
+        mine = at[np.cumsum(klass) - 1][again]
+        yield out(False, row[again], lo[again], hi[again], doc[again], doc[mine], row[mine], lo[again] - pos[again] + pos[mine])
         several = ~group[at]  # not the first class of its gram
         several[:-1] |= ~group[at[1:]]
         if begins:
@@ -127,19 +134,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif not pending:
             several[0] = False
         give = at[several]
-        yield out(True, doc[give], lo[give], hi[give], doc[give])
+        yield out(True, row[give], lo[give], hi[give], doc[give], doc[give], row[give], lo[give])
         head = cols[:, at[-1]].copy()
         pending = not several[-1] if (begins or len(at) > 1 or pending) else False
     if head is not None and pending:  # its gram may go on in the next range
-        yield out(True, head[3:4], head[5:6], head[6:7], head[3:4])
+        doc, row, _, lo, hi = (head[i : i + 1] for i in range(3, 8))
+        yield out(True, row, lo, hi, doc, doc, row, lo)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash of every window of the ranges of a document."""
+    """Hash of every window of the ranges of a text."""
+    names = [x.split()[0] for x in _PLACE.split(", ")]
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        buf, off = buffers(batch.column(1))
-        ranges = batch.column(2)
+        rows, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        buf, off = buffers(batch.column(2))
+        ranges = batch.column(3)
         lists = ranges.offsets.to_numpy()
         lows, highs = (ranges.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for lo, hi in slices(off):
@@ -150,44 +159,56 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = b - a
             pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
             owner = np.repeat(owner, n)
-            ok = pos + LENGTH <= np.diff(w.first)[owner]  # else the row has the doc_id and not the text
-            pos, owner = pos[ok], owner[ok]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(g[w.first[owner] + pos].view(np.int64)), pa.array(ids[lo:hi][owner]), pa.array(pos)], ["hash", "doc_id", "pos"]
+                [pa.array(g[w.first[owner] + pos].view(np.int64)), pa.array(docs[lo:hi][owner]), pa.array(rows[lo:hi][owner]), pa.array(pos)], names
             )
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """One row per span of repeated words: ``doc_id, start, stop, n_words, first_doc_id``.
 
-    ``start`` and ``stop`` number the words of the text from 0; ``first_doc_id`` is a document that has
-    the span's first window at an earlier place, maybe the same document.  Texts that are null, empty or
-    shorter than 50 words and rows without a doc_id have no spans.  A doc_id stands for one text:
-    rows that repeat it are not repeats of each other.  Other columns are ignored.
+    ``start`` and ``stop`` number the words of the text from 0; ``first_doc_id`` is the document of the earliest
+    place of the span's first window, maybe the same document.  Rows are told apart whatever their doc_id: rows that
+    share one, or have none and come last, are texts of their own and the later one of two equal rows is all
+    repeat.  Texts that are null, empty or shorter than 50 words have no spans; an empty table gives
+    none.  Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    suffixes = stash(docs.mapInArrow(_suffixes, _SUFFIX), "suffixes")
-    keys = ["gram", "right", "left", "doc_id", "pos"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = suffixes.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    found = stash(order.mapInArrow(_neighbours, _FOUND), "neighbours")
+    docs = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "row")
+    return _spans(docs).select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "first_doc_id")
 
-    open_ = found.where("open").groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    windows = stash(docs.join(open_, "doc_id").select("doc_id", "text", "ranges").mapInArrow(_windows, "hash long, doc_id long, pos long"), "windows")
-    first = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    extended = windows.join(first, "hash").where("doc_id <> first.doc_id or pos <> first.pos")
 
-    repeats = found.where("not open").select("doc_id", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"), "first_doc_id").union(
-        extended.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop"), F.col("first.doc_id").alias("first_doc_id"))
-    )
-    by_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
-    reach = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    islands = repeats.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("long")).withColumn("island", F.sum("new").over(by_doc))
-    return (
-        islands.groupBy("doc_id", "island")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("start", "first_doc_id")).alias("first"))
-        .select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), F.col("first.first_doc_id").alias("first_doc_id"))
+def _spans(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, start, stop, first_doc_id`` for ``row, doc_id, text``."""
+    known = lambda c: F.when(F.col(c) < _LAST, F.col(c))
+    docs = docs.select("row", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text").where("text is not null")
+    kept = stash(docs.mapInArrow(_suffixes, _SUFFIX), "suffixes")
+    keys = ["gram", "right", "left", "doc", "row", "pos"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = kept.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    found = stash(order.mapInArrow(_neighbours, _FOUND), "neighbours")
+    discard(kept)
+
+    open_ = found.where("open").groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    windows = stash(docs.join(open_, "row").select("row", "doc", "text", "ranges").mapInArrow(_windows, _PLACE), "windows")
+    place = F.struct("doc", "row", "pos")
+    first = windows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    extended = windows.join(first, "hash").where("row <> first.row or pos <> first.pos")
+    extended = stash(extended.select("row", "doc", F.col("pos").alias("start"), F.col("first.doc").alias("from_doc"), F.col("first.row").alias("from_row"), F.col("first.pos").alias("from_lo")), "extended")
+    discard(windows)
+
+    source = ["from_doc", "from_row", "from_lo"]
+    repeats = found.where("not open").select("row", "doc", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("stop"), *source).union(
+        extended.select("row", "doc", "start", (F.col("start") + LENGTH).alias("stop"), *source)
     )
+    by_row = Window.partitionBy("row").orderBy("start", "stop")
+    reach = F.max("stop").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    islands = repeats.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("long")).withColumn("island", F.sum("new").over(by_row))
+    spans = islands.groupBy("row", "doc", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min(F.struct("start", *source)).alias("first"))
+    spans = spans.select("row", "doc", "start", "stop", *[F.col(f"first.{c}").alias(c) for c in source])
+    # the first of a class may itself be a repeat, of a place whose wider context differs
+    earlier = extended.select(F.col("row").alias("from_row"), F.col("start").alias("from_lo"), F.col("from_doc").alias("least"))
+    spans = spans.join(earlier, ["from_row", "from_lo"], "left").withColumn("from_doc", F.coalesce("least", "from_doc"))
+    return spans.select("row", known("doc").alias("doc_id"), "start", "stop", known("from_doc").alias("first_doc_id"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +223,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = words(buf, off[i : i + 2], NOT_SPACE, False)
             pieces, at = [], int(off[i])
             for a, b in zip(starts[lists[i] : lists[i + 1]], stops[lists[i] : lists[i + 1]], strict=True):
-                if b <= len(w.hash):
-                    pieces.append(buf[at : w.start[a]].tobytes())
-                    at = int(w.end[b - 1])
+                pieces.append(buf[at : w.start[a]].tobytes())
+                at = int(w.end[b - 1])
             pieces.append(buf[at : off[i + 1]].tobytes())
             left.append(b"".join(pieces).strip(b" \t\n\v\f\r").decode())
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
@@ -213,15 +233,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """Pipeline stage: ``docs`` without its repeated spans; the earliest place keeps a passage.
 
-    Documents without a span come back as they are.  ``n_chars``, if there, follows the new text.
-    A document of which nothing is left is dropped.
+    Rows without a span, among them those with null, empty and short texts, come back as they are.  Spans are
+    cut from their own row alone, whatever other rows have its doc_id.  ``n_chars``, if there, follows the new
+    text.  A row of which nothing is left is dropped.  An empty table stays empty.
     """
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left")
+    row, spans = fresh(docs.columns, "row", "spans")
+    rows = numbered(docs, "doc_id", row)
+    found = _spans(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = found.groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(spans))
+    joined = rows.join(stash(found, "spans"), row, "left")
     rest = [c for c in docs.columns if c != "text"]
     schema = joined.select("text", *rest).schema
-    hit = joined.where("_spans is not null").select("text", "_spans", *rest).mapInArrow(_cut, schema).where("text <> ''")
+    hit = joined.where(F.col(spans).isNotNull()).select("text", spans, *rest).mapInArrow(_cut, schema).where("text <> ''")
     if "n_chars" in rest:
         hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    whole = joined.where("_spans is null").select(*docs.columns)
+    whole = joined.where(F.col(spans).isNull()).select(*docs.columns)
     return whole.union(hit.select(*docs.columns))
