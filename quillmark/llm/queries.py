@@ -80,6 +80,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') t"
 
+#: Windows by their MD5; the earliest place of each, and runs of the later ones.
+_OP1 = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') t from documents),
+win as (select doc_id, p, md5(array_to_string(t[p + 1:p + 50], ' ')) h from (select doc_id, t, unnest(range(0, len(t) - 49)) p from w where len(t) >= 50)),
+f as (select doc_id, p, min({'d': doc_id, 'p': p}) over (partition by h) low from win),
+r as (select doc_id, p, low.d first_doc, case when p - lag(p) over (partition by doc_id order by p) <= 50 then 0 else 1 end new from f where doc_id <> low.d or p <> low.p),
+i as (select *, sum(new) over (partition by doc_id order by p) island from r)
+select doc_id, min(p)::bigint start, (max(p) + 50)::bigint stop, (max(p) + 50 - min(p))::bigint n_words, arg_min(first_doc, p)::bigint first_doc_id from i group by doc_id, island
+"""
+
 #: Windows as strings, joined; words have no space, so a string is one window.
 _OP5 = f"""
 with iw as (select item_id, {_ALNUM} from benchmark where item_id is not null),
@@ -110,4 +120,4 @@ from w left join n using (doc_id) join (select d, min(r) c from reach group by 1
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; the others are tested against brute force."""
-    return {"op5_decontaminate": _OP5, "op10_minhash": _OP10}
+    return {"op1_suffix_array": _OP1, "op5_decontaminate": _OP5, "op10_minhash": _OP10}

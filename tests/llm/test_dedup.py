@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 from helpers import ALNUM_WORD, ODD, empty, prose, table, words
+from pyspark.sql import functions as F
 
 from quillmark.llm import decontaminate, near_dup, suffix_dedup
 from quillmark.plans.components import components
@@ -53,8 +54,49 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
 
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
-    docs = table(spark, ["one two three four five six"]).where("doc_id = 0")
-    assert [(r.component_id, r.kept) for r in near_dup.near_duplicates(docs.union(docs)).collect()] == [(0, True)] * 2
+    assert near_dup.keep_one(empty(spark)).count() == 0
+    a, b, other = prose(1, 90), prose(1, 88), prose(2, 90)
+    rows = [(4, a), (4, a), (4, other), (3, b), (None, a), (None, prose(3, 60)), (None, prose(3, 60)), (None, None), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int")
+    got = sorted((r.component_id or -1, r.kept, r.n_shingles) for r in near_dup.near_duplicates(docs).collect())
+    one, two, three = (len({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}) for t in (a, b, other))
+    null = len({tuple(prose(3, 60).split()[i : i + 5]) for i in range(56)})
+    assert got == sorted([(3, False, one)] * 3 + [(3, True, two), (4, True, three), (-1, True, null), (-1, False, null)] + [(-1, True, 0)] * 2 + [(9, True, 0)] * 2)
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert collections.Counter(left) == collections.Counter([(3, b), (4, other), (None, prose(3, 60)), (None, None), (None, None), (9, ""), (9, "")])
+
+
+def test_texts_with_a_common_frame_are_not_compared(spark, monkeypatch):
+    frame = prose(1, 300, 5000).split()
+    r = random.Random(3)
+    texts = []
+    for d in range(120):  # similarity 0.5 to 0.7 by pairs: they share buckets and no link
+        own = [f"own{d}x{i}" for i in range(r.randrange(60, 90))]  # a fifth of the text
+        texts.append(" ".join(frame[:150] + own + frame[150:]))
+    texts += [texts[5] + " more words at the end", texts[5].replace("own5x7", "changed")]
+    docs = table(spark, texts)
+    seen = []
+    open_ = near_dup._open
+    monkeypatch.setattr(near_dup, "_open", lambda *a: seen.append(open_(*a).count()) or open_(*a))
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs).collect() if x.doc_id is not None}
+    assert got == {k: v[1] for k, v in near_truth(enumerate(texts)).items()}
+    assert seen[0] < 10
+
+
+def test_words_in_patterns_are_told_apart(spark):
+    x, y = ["a"], ["b"]
+    for _ in range(9):
+        x, y = x + y, y + x
+    texts = [" ".join(x), " ".join(y), " ".join(x + y), " ".join(["a", "b"] * 256)]
+    docs = table(spark, texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect() if r.doc_id is not None}
+    assert got == near_truth(enumerate(texts))
+    spans = collections.defaultdict(list)
+    for r in suffix_dedup.repeated_spans(docs).collect():
+        spans[r.doc_id].append((r.start, r.stop))
+    assert {k: sorted(v) for k, v in spans.items()} == span_truth(enumerate(texts))
 
 
 def test_sketch_fills_and_estimates():
@@ -110,10 +152,46 @@ def test_repeated_spans_match_brute_force(spark):
     assert 15 not in rows and rows[13].n_chars == len(rows[13].text)
 
 
+def cut_truth(rows):
+    """What is left of (doc_id, text) rows in place order."""
+    spans, out = span_truth(enumerate(t for _, t in rows)), []
+    for i, (k, t) in enumerate(rows):
+        if i not in spans:
+            out.append((k, t))
+            continue
+        w, inside = words(t, fold=False), {j for a, b in spans[i] for j in range(a, b)}
+        if len(inside) < len(w):
+            out.append((k, [x for j, x in enumerate(w) if j not in inside]))
+    return out
+
+
 def test_repeated_spans_of_nothing_and_of_repeated_rows(spark):
-    assert suffix_dedup.repeated_spans(empty(spark)).count() == 0
-    docs = table(spark, [prose(1, 90)]).where("doc_id = 0")
-    assert suffix_dedup.repeated_spans(docs.union(docs)).count() == 0
+    assert suffix_dedup.repeated_spans(empty(spark)).count() == 0 and suffix_dedup.cut_repeats(empty(spark)).count() == 0
+    p, q, z = prose(1, 60, 3000), prose(2, 100, 3000), prose(3, 100, 3000)
+    # rows that share an id, equal rows, rows without an id: each keeps what stands at no earlier place
+    rows = [(1, f"{p} x1 x2"), (2, f"{p} y1 y2"), (2, z), (3, q), (3, q), (None, f"n {q} m"), (None, prose(4, 70, 3000)), (None, None), (5, "")]
+    docs = spark.createDataFrame([(k, t, i, 0) for i, (k, t) in enumerate(rows)], "doc_id long, text string, _spans int, _row int")
+    cut = suffix_dedup.cut_repeats(docs)
+    assert cut.columns == docs.columns
+    plain = lambda found: sorted(((k is None, k or 0), t if isinstance(t, list) else (words(t, fold=False) if t else [str(t)])) for k, t in found)
+    assert plain((r.doc_id, r.text) for r in cut.collect()) == plain(cut_truth(rows))
+    found = [(r.doc_id, r.first_doc_id, r.n_words) for r in suffix_dedup.repeated_spans(docs).collect()]
+    assert sorted(found, key=str) == sorted([(2, 1, 60), (3, 3, 100), (None, 3, 100)], key=str)
+
+
+def test_sort_ranges_do_not_show(spark):
+    passage = prose(1, 80, 3000)
+    texts = [f"{prose(100 + i, 30 + i % 7, 3000)} {passage} {prose(200 + i, 20, 3000)}" for i in range(60)] + [passage] * 60
+    random.Random(1).shuffle(texts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = collections.defaultdict(list)
+        for r in suffix_dedup.repeated_spans(table(spark, texts)).collect():
+            got[r.doc_id].append((r.start, r.stop))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {k: sorted(v) for k, v in got.items()} == span_truth(enumerate(texts))
 
 
 def test_contamination_matches_brute_force(spark):
@@ -138,8 +216,8 @@ def test_contamination_matches_brute_force(spark):
                         which |= windows[tuple(w[i : i + m])]
             r = found[k]
             assert {i for s in r.spans for i in range(s.start, s.stop)} == hit and r["items"] == sorted(which) and r.n_words == len(w)
-    clean = decontaminate.drop_contaminated(docs, bench)
-    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {k for k in found if not found[k].spans}
+        clean = decontaminate.drop_contaminated(docs, bench, block)
+        assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {k for k in found if not found[k].spans}
     assert decontaminate.contamination(docs, bench.where("false")).where("size(spans) > 0").count() == 0
     assert decontaminate.contamination(empty(spark), bench).count() == 0
 
@@ -148,4 +226,9 @@ def test_contaminated_row_without_an_id_is_dropped(spark):
     bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
     rows = [(None, f"x {prose(1, 30)} y"), (None, prose(7, 30)), (None, None), (4, prose(1, 30)), (4, prose(8, 30)), (5, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect()} == {rows[1], rows[2], rows[4], rows[5]}
+    for block in (1 << 20, 10):
+        assert {tuple(r) for r in decontaminate.drop_contaminated(docs, bench, block).collect()} == {rows[1], rows[2], rows[4], rows[5]}
+    docs = docs.withColumns({"_row": F.lit(1), "row": F.lit(2), "key": F.lit("k")})
+    for block in (1 << 20, 10):
+        assert decontaminate.drop_contaminated(docs, bench, block).columns == docs.columns
+        assert decontaminate.drop_contaminated(docs.where("false"), bench, block).count() == 0
