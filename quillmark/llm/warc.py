@@ -13,15 +13,15 @@ Records travel as rows with their bytes; concatenated in any order those bytes a
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,24 +71,62 @@ def value(headers: Headers, name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
-def records(data: io.BufferedIOBase) -> Iterator[tuple[Headers, bytes]]:
-    """Records of a WARC stream, one in memory at a time; a damaged tail ends the stream."""
-    while line := data.readline():
-        if not line.strip():
+_MARK = b"\r\n\r\nWARC/1."  # ends a record and begins the next
+_LONGEST = 1 << 30  # a longer record fits no row
+
+
+def _sound(piece: bytes) -> tuple[Headers, bytes | None, int] | None:
+    """Headers, what is there of the block (None before its begin), and the block's length by its header."""
+    end = re.search(rb"\r?\n\r?\n", piece)
+    first, _, lines = piece[: end.start() if end else len(piece)].partition(b"\n")
+    if not re.fullmatch(rb"\d+\r?", first):
+        return None
+    headers = parse_headers(lines)
+    length = value(headers, "Content-Length")
+    if not length or not re.fullmatch(r"[0-9]{1,10}", length) or int(length) > _LONGEST:
+        return None
+    return headers, piece[end.end() :] if end else None, int(length)
+
+
+def assemble(pieces: Iterable[bytes]) -> Iterator[tuple[Headers, bytes] | int]:
+    """Records of what stands between one ``_MARK`` and the next, or how many bytes no record could be made of.
+
+    A block that holds the mark itself comes in several pieces, which are put together if its length is reached
+    exactly.  Else the record is damaged: it alone is passed over, and the next begins at the next mark.
+    """
+    source, waiting = iter(pieces), deque()
+
+    def take() -> bytes | None:
+        return waiting.popleft() if waiting else next(source, None)
+
+    while (piece := take()) is not None:
+        found = _sound(piece)
+        if found is None:
+            yield len(piece)
             continue
-        if not line.startswith(b"WARC/"):
-            return
-        raw = []
-        while (line := data.readline()).strip():
-            raw.append(line.rstrip(b"\r\n"))
-        headers = parse_headers(b"\n".join(raw))
-        length = value(headers, "Content-Length")
-        if length is None or not length.isdigit():
-            return
-        block = data.read(int(length))
-        if len(block) < int(length):
-            return
-        yield headers, block
+        headers, block, length = found
+        used, size = [block or b""], len(block or b"")
+        while size < length and (more := take()) is not None:
+            used += [_MARK if block is not None or len(used) > 1 else _MARK[4:], more]  # the empty line may be the headers' own
+            size += len(used[-2]) + len(more)
+        if size >= length:
+            block = b"".join(used)
+            if not block[length:].strip(b"\r\n"):
+                yield headers, block[:length]
+                continue
+        waiting.extendleft(reversed(used[2::2]))
+        yield len(piece)
+
+
+def records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """The sound records of some bytes."""
+    for found in assemble(_pieces(data)):
+        if not isinstance(found, int):
+            yield found
+
+
+def _pieces(data: bytes) -> list[bytes]:
+    return re.split(rb"(?:^|\r?\n\r?\n)\s*WARC/1\.", data)[1:]
 
 
 class _Page(HTMLParser):
@@ -303,18 +341,26 @@ def responses(pages: DataFrame, key: str = "page_id", date: str = DATE) -> DataF
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``source, record`` of all records of the .warc and .warc.gz files at ``path``, via Spark's own reader."""
+    """``source, record, skipped`` of all records of the .warc and .warc.gz files at ``path``.
+
+    Spark's line reader splits at the mark between records, so a file of any size is read in a stream, and one
+    that isn't compressed by several tasks.  Bytes of which no record could be made are counted in ``skipped`` of a
+    row with a null record; the records after them are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = io.BytesIO(content.as_py())
-                data = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw
-                for headers, block in records(data):
-                    plain = [(k, v) for k, v in headers if k.lower() != "content-length"]
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([serialize(plain, block)], pa.binary())], ["source", "record"])
+        pieces = ((n, v) for batch in batches for n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for name, group in groupby(pieces, key=lambda x: x[0]):
+            begins = (re.sub(rb"^\s*WARC/1\.", b"", v) for _, v in group)  # of a file's first piece
+            for found in assemble(x for x in begins if x.strip()):
+                if isinstance(found, int):
+                    record, skipped = None, found
+                else:
+                    record, skipped = serialize([(k, v) for k, v in found[0] if k.lower() != "content-length"], found[1]), 0
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([record], pa.binary()), pa.array([skipped], pa.int64())], ["source", "record", "skipped"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "source string, record binary")
+    lines = spark.read.option("lineSep", _MARK.decode()).text(path)
+    return lines.select(F.col("_metadata.file_path"), F.col("value").cast("binary")).mapInArrow(run, "source string, record binary, skipped long")
 
 
 _DERIVED = "{key} {kind}, warc_type string, record_id string, refers_to string, target_uri string, refers_to_date string, content_type string, content_length long, block_digest string, payload_digest string, digest_ok boolean, title string, n_links int, content string, record binary"
@@ -337,7 +383,7 @@ def derivatives(source: DataFrame, key: str = "page_id") -> DataFrame:
                 part = batch.slice(lo, 256)
                 rows: list[tuple] = []
                 for k, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for headers, block in records(io.BytesIO(raw or b"")):
+                    for headers, block in records(raw or b""):
                         if (value(headers, "WARC-Type") or "").lower() != "response":
                             continue
                         for made, data, facts in derive(headers, block):

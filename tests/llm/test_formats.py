@@ -1,7 +1,9 @@
 import io
 import json
+import re
 import struct
 import zlib
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ import sentencepiece
 from helpers import ODD, empty, prose, table, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillmark.llm import piece_sampler, sharding, textkit, token_store, warc
@@ -188,6 +191,18 @@ def test_shards_are_exact(spark, n):
     assert sharding.shuffle_into_shards(empty(spark), n).count() == 0
 
 
+def test_shards_leave_other_columns_alone(spark, monkeypatch):
+    names = ["_key", "_range", "_offset", "_rank", "_place", "_n", "key", "range", "offset", "rank", "place", "n", "Shard2"]
+    docs = spark.createDataFrame([(i, f"t{i}", *[f"{c}{i}" for c in names]) for i in range(50)], ", ".join(["doc_id long", "text string", *[f"{c} string" for c in names]]))
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 300)
+    out = sharding.shuffle_into_shards(docs.withColumns({"shard": F.lit("old"), "slot": F.lit("old")}), 3)
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    assert sorted(map(tuple, out.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    for s in range(3):
+        slots = sorted(r.slot for r in out.collect() if r.shard == s)
+        assert slots == list(range(len(slots))) and len(slots) in (16, 17)
+
+
 def test_shards_cut_into_ranges(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RANGE_ROWS", 4)
     rows = sharding.shuffle_into_shards(spark.range(101).withColumnRenamed("id", "doc_id"), 3).collect()
@@ -210,9 +225,9 @@ def test_warc_derivatives(spark, tmp_path):
     assert rows[2, "conversion"].content == "" and rows[2, "conversion"].target_uri is None
     raw = {r.page_id: bytes(r.record) for r in source.collect()}
     for k in raw:
-        (headers, block), = warc.records(io.BytesIO(raw[k]))
+        (headers, block), = warc.records(raw[k])
         for kind in ("conversion", "metadata"):
-            (made, data), = warc.records(io.BytesIO(bytes(rows[k, kind].record)))
+            (made, data), = warc.records(bytes(rows[k, kind].record))
             assert warc.value(made, "WARC-Refers-To") == warc.value(headers, "WARC-Record-ID")
             assert warc.value(made, "WARC-Payload-Digest") == warc.value(headers, "WARC-Payload-Digest")
             assert warc.value(made, "WARC-Block-Digest") == warc.sha1(data) and int(warc.value(made, "Content-Length")) == len(data)
@@ -222,10 +237,66 @@ def test_warc_derivatives(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in raw.values()))
     (tmp_path / "b.warc").write_bytes(b"".join(raw.values()) + b"WARC/1.1\r\nContent-Length: 99\r\n\r\ncut")
     again = warc.read_warc(spark, str(tmp_path))
-    assert again.count() == 6 and warc.derivatives(again, "source").count() == 12
+    assert again.where("skipped = 0").count() == 6 and warc.derivatives(again, "source").count() == 12
+    assert [r.skipped > 0 for r in again.where("record is null").collect()] == [True]
     assert warc.derivatives(source.where("false")).count() == 0
 
 
+def plain_records(data):
+    """A reader of its own: header lines, then as many bytes as they say."""
+    out, stream = [], io.BytesIO(data)
+    while (line := stream.readline()):
+        if line.strip() != b"WARC/1.1":
+            assert not line.strip()
+            continue
+        head = {}
+        while (line := stream.readline().strip()):
+            k, _, v = line.partition(b":")
+            head[k.strip().lower()] = v.strip()
+        out.append((head, stream.read(int(head[b"content-length"]))))
+    return out
+
+
+def test_derivatives_read_by_another_reader(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").limit(60)
+    html = {r.page_id: r.html for r in pages.collect()}
+    source = {r.page_id: bytes(r.record) for r in warc.responses(pages).collect()}
+    made = warc.derivatives(warc.responses(pages)).collect()
+    assert len(made) == 2 * len(html)
+    for r in made:
+        (head, block), = plain_records(source[r.page_id])
+        payload = block.split(b"\r\n\r\n", 1)[1]
+        assert payload == html[r.page_id].encode()
+        (own, data), = plain_records(bytes(r.record))
+        for name in (b"warc-target-uri", b"warc-date", b"warc-payload-digest"):
+            assert own[name] == head[name]
+        assert own[b"warc-refers-to"] == head[b"warc-record-id"] != own[b"warc-record-id"] and own[b"warc-type"] == r.warc_type.encode()
+        if r.warc_type == "conversion":
+            assert data.decode() == r.content and "<p" not in r.content
+            shown = re.sub(r"(?is)<(script|style|noscript|template|svg|iframe|object)\b.*?</\1>|<title.*?</title>|<!--.*?-->", " ", html[r.page_id])
+            bare = lambda x: "".join(x.split())
+            assert bare(unescape(re.sub(r"<[^>]*>", " ", shown))) == bare(r.content)
+        else:
+            told = json.loads(data)
+            assert told["Envelope"]["Payload-Length"] == len(payload) and dict(told["Envelope"]["WARC-Header-Metadata"])["WARC-Record-ID"].encode() == head[b"warc-record-id"]
+
+
+def test_damaged_records_cost_themselves_alone(spark, tmp_path):
+    page = lambda i: warc.response(f"http://x/{i}", str(i), f"<p>page {i} {prose(i, 40)}".encode())
+    inner = warc.serialize([("WARC-Type", "resource"), ("WARC-Record-ID", "<urn:x:1>")], page(7) + b"more")  # a block with records in it
+    shorter = page(2).replace(b"Content-Length: ", b"Content-Length: 1", 2)
+    cases = {"long": shorter, "none": page(2).replace(b"\r\nContent-Length:", b"\r\nLength:"), "odd": page(2).replace(b"\r\nContent-Length: ", b"\r\nContent-Length: x"), "huge": re.sub(rb"Content-Length: \d+\r\n\r\nHTTP", b"Content-Length: 99999999999\r\n\r\nHTTP", page(2)), "small": re.sub(rb"Content-Length: \d+\r\n\r\nHTTP", b"Content-Length: 7\r\n\r\nHTTP", page(2))}
+    for name, bad in cases.items():
+        data = page(1) + bad + inner + page(3)
+        got = list(warc.records(data))
+        assert [warc.value(h, "WARC-Target-URI") for h, _ in got] == ["http://x/1", None, "http://x/3"], name
+        assert got[1][1] == page(7) + b"more"
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert len(rows) == 4 * len(cases) and sum(r.record is None for r in rows) == len(cases)
+    assert all(r.skipped > 100 for r in rows if r.record is None)
+
+
 @pytest.mark.parametrize("page,text", [
     ("<html><head><title>T</title><p>Hello", "Hello"), ("<head><title>T</title>Hello <b>you", "Hello you"), ("<head><meta name=a content=b><script>no</script>\n<style>no</style><div>Hello", "Hello"),
     ("<head><noscript><p>no</noscript><title>T</title></head>Hello", "Hello"), ("<head><title>T</title><svg><text>no</text></svg>Hello", "Hello"),
