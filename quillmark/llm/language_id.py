@@ -8,7 +8,7 @@ needs bounded memory.
 
 Training is backpropagation through time in numpy on the driver, from a bounded sample of labelled
 rows: about ``TRAIN_ROWS`` documents, shared equally between languages and chosen by the hash of
-their id, of each ``PIECES`` random pieces of ``PIECE_BYTES`` bytes.  Only the pieces reach
+their id and text, of each ``PIECES`` random pieces of ``PIECE_BYTES`` bytes (512 bytes of a text at most).  Only the pieces reach
 the driver, and only the weights (some 60 kB) reach the executors.
 """
 
@@ -130,22 +130,26 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], Weights | None]:
     """Languages and weights from ``doc_id, text, lang``; about ``train_rows`` rows are used.
 
-    A language may be absent from the sample only if it has no row with text.
+    Rows without a language or a text take no part, and rows that are equal count once.  Every language
+    that has a row with text is in the sample, be there more of them than ``train_rows``.  Without any row the result
+    has no languages, with one language no weights.  Other columns are ignored.
     """
+    spark = labelled.sparkSession
     labelled = labelled.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = labelled.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
+    counts = {r.lang: (r.n, r.least) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()}  # a row for each language
     if not counts:
         return [], None
     langs = sorted(counts)
     share = max(1, train_rows // len(langs))
-    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, (share + 3 * share**0.5) / counts[k]))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate[F.col("lang")] * float(1 << 30))
-    rows = chosen.mapInArrow(_pieces, "lang string, piece binary").orderBy("lang", "piece").collect()
-    found = sorted({r.lang for r in rows})
-    code = {k: i for i, k in enumerate(found)}
-    if len(found) == 1:
-        return found, None
-    return found, train([bytes(r.piece) for r in rows], np.array([code[r.lang] for r in rows]), len(found))
+    below = [(k, max(counts[k][1], min((1 << 63) - 1, int((share + 3 * share**0.5) / counts[k][0] * 2.0**63)))) for k in langs]
+    chosen = labelled.join(spark.createDataFrame(below, "lang string, top long"), "lang").where("h <= top")
+    chosen = chosen.groupBy("lang", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    rows = chosen.select("doc_id", "text", "lang").mapInArrow(_pieces, "lang string, piece binary").orderBy("lang", "piece").collect()
+    code = {k: i for i, k in enumerate(langs)}
+    if len(langs) == 1:
+        return langs, None
+    return langs, train([bytes(r.piece) for r in rows], np.array([code[r.lang] for r in rows]), len(langs))
 
 
 def _predict(langs: list[str], w: Weights | None):

@@ -14,7 +14,10 @@ never seen.  All unseen words count as one.
 Training.  Truncated backpropagation in numpy: each task trains on its own documents in windows of
 ``UNROLL`` words, the state carried over; after each of ``ROUNDS`` rounds over different documents
 the weights are averaged, weighted by tokens, in a tree of groups.  Every training document is
-used once.
+used once.  A task cuts its stream of documents into equal lanes, so a lane may begin inside a document, from a
+zero state, and the last is filled up with the first words again.  Weights, and so scores, follow from how rows are
+dealt to tasks and batches and from the order of sums: runs over files split otherwise differ a little.  Counts and
+base scores do not.
 
 Scoring.  One pass gives each document what needs the frequent words only, and the list of its tail
 words; those are joined with their corpus counts.
@@ -324,7 +327,11 @@ def _round(texts: DataFrame, vocab: Vocabulary) -> Weights:
 
 
 def fit(training: DataFrame) -> tuple[Vocabulary, DataFrame]:
-    """A model from ``doc_id, text``, and the table ``hash, n`` of its words' counts."""
+    """A model from ``doc_id, text``, and the table ``hash, n`` of its words' counts.
+
+    A null text counts as empty, an empty one as its end alone; rows that repeat others or have no
+    doc_id are learned each.  An empty table gives a model to which every word is unseen.  Other columns are ignored.
+    """
     spark = training.sparkSession
     training = training.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = training.select("text").mapInArrow(_count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -346,7 +353,7 @@ def fit(training: DataFrame) -> tuple[Vocabulary, DataFrame]:
     types = sum(r.types for r in levels) + (documents > 0)
     once = sum(r.once for r in levels if r.level < least)
     vocab = vocabulary(hashes, counts, tokens, types, documents, once)
-    turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(ROUNDS))
+    turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(ROUNDS))
     for i in range(ROUNDS):
         vocab.weights = _round(training.where(turn == i), vocab)
     tail = counted.where(level < least)

@@ -360,7 +360,12 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_pieces, ids, ids_crc32, lossless``; the checksum is of 32-bit ids, and lossless compares what the ids decode to with the text."""
+    """``doc_id, n_pieces, ids, ids_crc32, lossless`` for every row of ``docs``.
+
+    The checksum is of the ids as 32-bit numbers, and lossless compares what they decode to with the text.  A null
+    text has null ids and checksum, n_pieces -1 and is lossless; an empty text has no ids.  Rows that repeat others
+    repeat their result.  An empty table gives no rows.  Other columns are ignored.
+    """
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = ready.mapInArrow(_encoder(path, THETA, 1, check=True), "doc_id long, ids array<int>, ids_crc32 long, lossless boolean")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "ids_crc32", "lossless")

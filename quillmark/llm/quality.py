@@ -172,25 +172,33 @@ def estimate(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tup
     return got.share, rates
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """``rows``, a written table with votes, and ``base_failed, quality, kept``."""
+    names = list(votes())
+    patterns = rows.groupBy(*names).agg(F.count("*").alias("n"))
+    share, rates = estimate(patterns, names)
+    rows = rows.withColumn("base_failed", base_failed()).withColumn("quality", posterior(names, share, rates))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= THRESHOLD))
+
+
 def assess(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash``, the counts and votes, ``base_failed, quality, kept`` for every row.
+    """``doc_id``, the counts and votes, ``base_failed, quality, kept`` for every row.
 
     ``quality`` is the posterior probability of being good; ``kept`` is false if a base rule fails,
     else whether quality reaches 0.5.  A null or wordless text fails.  Rows with a null doc_id or
-    that repeat others are judged like any; other columns are ignored.
+    that repeat others are judged like any; an empty table gives no rows.  Other columns are ignored.
     """
-    rows = features(docs.select("doc_id", "text")).withColumn("text_hash", F.xxhash64("text")).drop("text")
-    rules = votes()
-    rows = stash(rows.withColumns(rules), "votes")
-    names = list(rules)
-    patterns = stash(rows.groupBy(*names).agg(F.count("*").alias("n")), "patterns")
-    share, rates = estimate(patterns, names)
-    rows = rows.withColumn("base_failed", base_failed()).withColumn("quality", posterior(names, share, rates))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= THRESHOLD))
+    rows = features(docs.select("doc_id", "text")).drop("text").withColumns(votes())
+    return _judged(stash(rows, "votes"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the rows of ``docs`` that ``assess`` keeps, all columns as they are."""
-    gone = assess(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    """Pipeline stage: the rows of ``docs`` that ``assess`` keeps, all columns as they are.
+
+    Columns travel with the votes, under names of their own, so no row has to be found again.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    place = docs.columns.index("text")
+    ready = docs.toDF(*own).withColumnRenamed(own[place], "text")
+    rows = _judged(stash(features(ready).withColumns(votes()), "votes"))
+    return rows.where("kept").select(*["text" if i == place else c for i, c in enumerate(own)]).toDF(*docs.columns)

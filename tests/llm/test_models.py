@@ -72,6 +72,72 @@ def test_language_model_gradients_and_total():
     assert np.allclose(bands, 1)
 
 
+def test_document_probability_step_by_step():
+    """Over documents of several windows and of none, from the definition, a word at a time."""
+    r = np.random.default_rng(8)
+    vocab = lm_score.vocabulary(np.arange(1, 1500, dtype=np.uint64), np.sort(r.integers(8, 900, 1499))[::-1].astype(float), 400000, 1600, 60, 40)
+    w = {k: v + r.normal(0, 0.2, v.shape).astype(np.float32) for k, v in vocab.weights.items()}
+    sizes = [1, 3 * lm_score._STEPS + 7, 2, lm_score._STEPS, 150, 1]
+    code = r.integers(0, 1499, sum(sizes))
+    klass, member = vocab.klass[code].copy(), vocab.member[code].copy()
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    klass[first[1:] - 1], member[first[1:] - 1] = lm_score.END, -1
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n, want = lm_score.HIDDEN, []
+    for a, b in zip(first[:-1], first[1:]):
+        h, total, seen = np.zeros(n), 0.0, lm_score.TOP + lm_score.END - lm_score.CLASSES
+        for i in range(a, b):
+            pre, g = w["x"][:, seen] + w["b"][:, 0], w["u"] @ h
+            z, reset = sig(pre[:n] + g[:n]), sig(pre[n : 2 * n] + g[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(pre[2 * n :] + reset * g[2 * n :])
+            k, m = int(klass[i]), int(member[i])
+            scores = w["v"] @ h + w["c"][:, 0]
+            total += scores[k] - math.log(sum(math.exp(x) for x in scores))
+            if m >= 0:
+                scores = w["w"][k] @ h + w["d"][k, :, 0]
+                total += scores[m] - math.log(sum(math.exp(x) for x in scores))
+            seen = k * lm_score.MEMBERS + m if m >= 0 else lm_score.TOP + k - lm_score.CLASSES
+        want.append(total)
+    assert np.allclose(lm_score.log_probability(w, klass, member, first), want, rtol=1e-4, atol=1e-3)
+
+
+def test_language_network_byte_by_byte():
+    r = np.random.default_rng(4)
+    n, classes = language_id.HIDDEN, 3
+    w = {"xf": r.normal(size=(257, 3 * n)), "xb": r.normal(size=(257, 3 * n)), "uf": r.normal(size=(3 * n, n)), "ub": r.normal(size=(3 * n, n)), "v": r.normal(size=(classes, 2 * n)), "c": r.normal(size=(classes, 1))}
+    for x in ("xf", "xb"):  # padding leaves a zero state alone, as training sees to
+        w[x][language_id.PAD], w[x][language_id.PAD, :n] = 0, 30
+    w = {k: v.astype(np.float32) for k, v in w.items()}
+    texts = [b"", b"a", bytes(r.integers(0, 256, 2 * language_id.WINDOW + 31).tolist()), bytes(r.integers(0, 256, language_id.WINDOW).tolist()), "Grüße".encode()]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def read(symbols, x, u):
+        h, out = np.zeros(n), []
+        for s in symbols:
+            pre, g = x[s], u @ h
+            z, reset = sig(pre[:n] + g[:n]), sig(pre[n : 2 * n] + g[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(pre[2 * n :] + reset * g[2 * n :])
+            out.append(h)
+        return out
+
+    want = np.zeros((len(texts), classes))
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), language_id.WINDOW):
+            part = t[a : a + language_id.WINDOW]
+            for f, b in zip(read(part, w["xf"], w["uf"]), read(part[::-1], w["xb"], w["ub"])[::-1]):
+                e = np.exp(w["v"] @ np.concatenate([f, b]) + w["c"][:, 0])
+                want[i] += e / e.sum() / len(t)
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    got = language_id.document_probabilities(w, np.frombuffer(b"".join(texts), np.uint8), off)
+    assert np.allclose(got, want, atol=2e-4) and np.allclose(got[1:].sum(axis=1), 1, atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i % 7 if i % 3 else None, f"text {chr(97 + i % 26)}" * 5, f"l{i % 40:02}") for i in range(400)] + [(None, "the same", "l00")] * 500
+    langs, w = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=20)
+    assert langs == [f"l{i:02}" for i in range(40)] and w["v"].shape[0] == 40
+
+
 def held(doc_id, parts, part):
     return zlib.crc32(str(doc_id).encode()) % parts == part
 
@@ -138,6 +204,36 @@ def test_quality_counts_match_brute_force(spark):
     assert quality.assess(empty(spark)).count() == 0
 
 
+def test_posterior_is_that_of_plain_em(spark):
+    """EM from its definition, over rows instead of patterns."""
+    texts = [prose(s, 80).translate(str.maketrans("0123456789", "eatoinshrd")).replace("e w", "e. w") for s in range(30)] + ["### " * 90] * 5 + [prose(s, 70) for s in range(8)] + [(prose(3, 10) + "\n") * 12, "AB CD " * 60, None, "x"]
+    got = quality.assess(table(spark, texts)).collect()
+    rules = list(quality.votes())
+    rows = [[r[v] for v in rules] for r in got]
+    share, rates = 0.85, {(v, vote): list(quality.START[vote]) for v in rules for vote in (1, -1)}
+
+    def good(row):
+        odds = share / (1 - share)
+        for v, vote in zip(rules, row):
+            if vote:
+                odds *= rates[v, vote][0] / rates[v, vote][1]
+        return odds / (1 + odds)
+
+    for _ in range(quality.ROUNDS):
+        p = [good(row) for row in rows]
+        n = sum(p), len(p) - sum(p)
+        for i, v in enumerate(rules):
+            for vote in (1, -1):
+                cast = sum(x for x, row in zip(p, rows) if row[i] == vote), sum(1 - x for x, row in zip(p, rows) if row[i] == vote)
+                pair = [max(quality.LEAST, (cast[k] + 10 * quality.START[vote][k]) / (n[k] + 10)) for k in (0, 1)]
+                if (pair[0] < pair[1]) if vote == 1 else (pair[0] > pair[1]):
+                    pair = [sum(pair) / 2] * 2
+                rates[v, vote] = pair
+        share = (n[0] + 8.5) / (len(rows) + 10)
+    for r, row in zip(got, rows):
+        assert abs(r.quality - good(row)) < 1e-6 and r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
 def test_quality_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").alias("good"))
