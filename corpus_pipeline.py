@@ -8,28 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import decontaminate, near_dup, piece_sampler, quality, suffix_dedup
-from quillmark.plans.stash import stash
+from quillmark.plans.stash import discard, stash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, among them null, empty and wordless texts."""
     return quality.keep_good(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays, also of rows that share a doc_id, have none or are equal."""
     return near_dup.keep_one(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more stay at their first place only."""
+    """Passages of 50 words and more stay at their first place, by doc_id and row, only; ``n_chars`` follows the text."""
     return suffix_dedup.cut_repeats(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Rows with a benchmark window go; without a benchmark none does."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -46,14 +46,18 @@ STAGES: list[tuple[str, Stage]] = [
     ("SentencePiece", encoded),
 ]
 
-ORACLE_SQL: str | None = None  # sampling and EM are beyond SQL; tests/llm compares with brute force
+ORACLE_SQL: str | None = None  # sampling and EM are beyond SQL; tests/llm/test_pipeline.py compares with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the ``documents`` of ``sf_dir``."""
+    """All stages over the ``documents`` of ``sf_dir``; a stage's table goes once the next one is written.
+
+    Columns beside text pass through to the last stage, whatever their names.  An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stash(docs, name.replace(" ", "-"))
+            discard(before)
     return docs
