@@ -8,19 +8,19 @@ from __future__ import annotations
 #: doc_id, page, block_no, page_height, x0, y0, x1, y1, size, bold, text
 BLOCKS = [
     (1, 0, 0, 792.0, 54.0, 20.0, 300.0, 30.0, 8.0, 0, "Journal of Tests 2021"),
-    (1, 0, 1, 792.0, 54.0, 80.0, 558.0, 100.0, 16.0, 48, "A Bandwidth-Aware Stride Prefetcher for Manycore"),
+    (1, 0, 1, 792.0, 54.0, 80.0, 558.0, 100.0, 16.0, 48, "Counting Migratory Birds from Tower Radar Images"),
     (1, 0, 2, 792.0, 54.0, 120.0, 200.0, 132.0, 11.0, 8, "Abstract"),
-    (1, 0, 3, 792.0, 54.0, 140.0, 297.0, 200.0, 9.0, 0, "We measure a prefetcher. It saves bandwidth on all loads"),
+    (1, 0, 3, 792.0, 54.0, 140.0, 297.0, 200.0, 9.0, 0, "We count birds at night. It works in all kinds of weather"),
     (1, 0, 4, 792.0, 54.0, 220.0, 200.0, 232.0, 11.0, 15, "1. Introduction"),
-    (1, 0, 5, 792.0, 54.0, 240.0, 297.0, 300.0, 9.0, 0, "Memory is slow. Caches hide this and"),
-    (1, 0, 6, 792.0, 315.0, 80.0, 558.0, 140.0, 9.0, 0, "prefetchers hide more of it."),
-    (1, 0, 7, 792.0, 320.0, 310.0, 540.0, 322.0, 8.0, 0, "Fig. 1: Speedup over the base."),
+    (1, 0, 5, 792.0, 54.0, 240.0, 297.0, 300.0, 9.0, 0, "Nights are dark. Radar sees through and"),
+    (1, 0, 6, 792.0, 315.0, 80.0, 558.0, 140.0, 9.0, 0, "towers see more of it."),
+    (1, 0, 7, 792.0, 320.0, 310.0, 540.0, 322.0, 8.0, 0, "Fig. 1: Flocks by hour."),
     (1, 0, 8, 792.0, 330.0, 200.0, 360.0, 210.0, 7.0, 0, "time us"),
     (1, 0, 9, 792.0, 300.0, 770.0, 312.0, 780.0, 8.0, 0, "1"),
     (1, 1, 0, 792.0, 54.0, 20.0, 300.0, 30.0, 8.0, 0, "Journal of Tests 2022"),
     (1, 1, 1, 792.0, 54.0, 80.0, 297.0, 140.0, 9.0, 0, "The results follow."),
     (1, 1, 2, 792.0, 54.0, 160.0, 200.0, 172.0, 11.0, 10, "References"),
-    (1, 1, 3, 792.0, 54.0, 180.0, 297.0, 200.0, 9.0, 0, "[1] A. Writer. A paper about caches."),
+    (1, 1, 3, 792.0, 54.0, 180.0, 297.0, 200.0, 9.0, 0, "[1] A. Writer. A paper about flocks."),
     (1, 1, 4, 792.0, 300.0, 770.0, 312.0, 780.0, 8.0, 0, "Page 2 of 2"),
     (2, 0, 0, 792.0, 54.0, 80.0, 297.0, 140.0, 10.0, 0, "Only one block here."),
 ]

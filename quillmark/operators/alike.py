@@ -54,8 +54,8 @@ class Block:
         found = np.bincount(at, minlength=len(texts) * BUCKETS).reshape(-1, BUCKETS)
         return np.ascontiguousarray(found.T.astype(self.kind))
 
-    def alike(self, texts: list[str]) -> Iterator[tuple[int, int]]:
-        """Pairs of a place in ``texts`` and one in the block that have the ratio."""
+    def alike(self, texts: list[str]) -> Iterator[tuple[int, int, float]]:
+        """Pairs of a place in ``texts`` and one in the block that have the ratio, and that."""
         size = np.array([len(t) for t in texts], np.int64)
         kept = np.flatnonzero((size >= self.low.min(initial=1)) & (size <= self.high.max(initial=0)))
         kept = kept[np.argsort(size[kept], kind="stable")]
@@ -68,15 +68,16 @@ class Block:
             if len(hit):
                 masks = T.masks(self.texts[k])
                 for i in kept[part][hit]:
-                    if T.ratio(self.texts[k], texts[i], masks) >= self.threshold:
-                        yield int(i), int(k)
+                    ratio = T.ratio(self.texts[k], texts[i], masks)
+                    if ratio >= self.threshold:
+                        yield int(i), int(k), ratio
 
 
 def _meet(blocks: list[Broadcast], min_tokens: int, kinds: list[pa.DataType]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             texts = list(held)
-            found = {(a, b) for block in blocks for i, k in block.value.alike(texts) for b in held[texts[i]] for a in block.value.owners[k]}
+            found = {(a, b) for block in blocks for i, k, _ in block.value.alike(texts) for b in held[texts[i]] for a in block.value.owners[k]}
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], kinds[i]) for i in (0, 1)], ["a_doc", "b_doc"])
 
@@ -93,6 +94,41 @@ def _meet(blocks: list[Broadcast], min_tokens: int, kinds: list[pa.DataType]):
     return run
 
 
+GROUP = 4096  # sentences of a side that are compared together
+
+
+def near_sentences(a: DataFrame, b: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """``keys, a_id, b_id, ratio`` of all sentences of a key's two sides that are alike enough.
+
+    Both sides have ``keys, id, toks``.  Sides are cut into groups by id, and every group of A meets every one of B.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        ids, toks = table.column("id").to_numpy(zero_copy_only=False), np.array(table.column("toks").to_pylist(), object)
+        sides = []
+        for mine in (left, ~left):
+            held: dict[str, list] = {}
+            for i, t in zip(ids[mine].tolist(), toks[mine], strict=True):
+                held.setdefault(t, []).append(i)
+            sides.append(held)
+        found = []
+        if sides[0] and sides[1]:
+            block, texts = Block(sides[0], threshold), list(sides[1])
+            found = [(x, y, ratio) for i, k, ratio in block.alike(texts) for x in block.owners[k] for y in sides[1][texts[i]]]
+        own = [pa.array([table.column(k)[0].as_py()] * len(found), table.column(k).type) for k in keys]
+        rest = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+        return pa.table([*own, *rest], [*keys, "a_id", "b_id", "ratio"])
+
+    group = lambda df: df.withColumn("g", F.floor(F.col("id") / GROUP).cast("long"))
+    a, b = group(a), group(b)
+    meet = lambda mine, other, own, far, flag: mine.join(other.select(*keys, F.col("g").alias(far)).distinct(), keys).select(*keys, F.col("g").alias(own), far, F.lit(flag).alias("left"), F.col("id").cast("long").alias("id"), "toks").select(*keys, "i", "j", "left", "id", "toks")
+    rows = meet(a, b, "i", "j", True).union(meet(b, a, "j", "i", False))
+    kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", a_id long, b_id long, ratio double"
+    return rows.groupBy(*keys, "i", "j").applyInArrow(run, schema)
+
+
 def near_pairs(sents_a: DataFrame, docs: DataFrame, min_tokens: int, threshold: float, block_bytes: int = BLOCK) -> DataFrame:
     """``a_doc, b_doc``: all pairs in which a sentence of A and one of B are alike enough, runs or none.
 

@@ -23,13 +23,17 @@ def hash_figures(figures: DataFrame, params: ImageParams = ImageParams()) -> Dat
     """``figures`` with ``phash, dhash, blank, thumb, gray, gh, gw``.
 
     Pixels are ``height, width, channels, data`` as Spark's image source has them (BGR rows).  A
-    nearly even image is blank and has no hashes.
+    nearly even image is blank and has no hashes.  A figure without pixels, as of a coding that isn't read here, has
+    no hashes either and can only be an exact copy.
     """
 
     @F.pandas_udf(HASHES)
     def hashes(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
         rows = []
         for h, w, c, raw in zip(height, width, channels, data, strict=True):
+            if raw is None:
+                rows.append((None, None, False, None, None, 0, 0))
+                continue
             pixels = np.frombuffer(raw, np.uint8).reshape(h, w, c)
             image = I.grey(pixels[..., 2::-1] if c >= 3 else np.repeat(pixels[..., :1], 3, axis=2))
             image = I.fit_within(image, params.max_side)
@@ -38,7 +42,7 @@ def hash_figures(figures: DataFrame, params: ImageParams = ImageParams()) -> Dat
                 continue
             small = I.fit_within(image, I.CROP_SIDE)
             rows.append((I.phash(image), I.dhash(image), False, I.thumbnail(image).astype("f4").reshape(-1), small.astype("f4").reshape(-1), *small.shape))
-        return pd.DataFrame(rows, columns=["phash", "dhash", "blank", "thumb", "gray", "gh", "gw"])
+        return pd.DataFrame(rows, columns=["phash", "dhash", "blank", "thumb", "gray", "gh", "gw"]).astype({"phash": "Int64", "dhash": "Int64"})
 
     return figures.withColumn("_h", hashes("height", "width", "channels", "data")).select("*", "_h.*").drop("_h")
 
@@ -77,8 +81,8 @@ def compare(a: DataFrame, b: DataFrame, pairs: DataFrame, params: ImageParams =
     dot = F.aggregate(F.zip_with("a_thumb", "b_thumb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     both = both.withColumns({"phash_distance": hamming(F.col("a_phash"), F.col("b_phash")), "dhash_distance": hamming(F.col("a_dhash"), F.col("b_dhash")), "ncc": F.round(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0)), 3)})
     both = both.withColumn("verdict", quick_verdict(F.col("phash_distance"), F.col("dhash_distance"), F.col("a_sha256") == F.col("b_sha256"), params))
-    told = both.where("verdict is not null").withColumn("crop_ncc", F.when(F.col("verdict") == "exact", 1.0).otherwise(F.col("ncc")))
-    rest = both.where("verdict is null").withColumn("crop_ncc", crop_either_way("a_gray", "a_gh", "a_gw", "b_gray", "b_gh", "b_gw"))
+    told = both.where("verdict is not null").withColumns({"crop_ncc": F.when(F.col("verdict") == "exact", 1.0).otherwise(F.col("ncc")), "ncc": F.coalesce("ncc", F.lit(1.0)), "phash_distance": F.coalesce("phash_distance", F.lit(0)), "dhash_distance": F.coalesce("dhash_distance", F.lit(0))})
+    rest = both.where("verdict is null and a_gray is not null and b_gray is not null").withColumn("crop_ncc", crop_either_way("a_gray", "a_gh", "a_gw", "b_gray", "b_gh", "b_gw"))
     rest = rest.withColumn("verdict", F.when(F.col("crop_ncc") >= params.crop_ncc, "cropped").when(F.col("phash_distance") <= params.similar_threshold, "similar")).where("verdict is not null")
     rows = told.unionByName(rest.select(*told.columns)).withColumn("crop_ncc", F.round("crop_ncc", 3))
     return rank_candidates(rows).select(*PAIR, "a_id", "b_id", "verdict", "phash_distance", "dhash_distance", "ncc", "crop_ncc", "a_page", "b_page", "a_caption", "b_caption", "a_bbox", "b_bbox")

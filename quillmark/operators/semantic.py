@@ -112,12 +112,22 @@ def _bin(x: Column) -> Column:
     return F.least(F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 10), F.lit(9)).cast("int")
 
 
-def statistics(best: DataFrame, threshold: float) -> DataFrame:
-    """Unit counts, mean best similarity of A, shares at the threshold, and ten bins of A's best."""
-    a, s = F.col("left"), F.col("sim")
+def statistics(best: DataFrame, threshold: float, pairs: DataFrame | None = None, a: DataFrame | None = None, b: DataFrame | None = None) -> DataFrame:
+    """Unit counts, mean best similarity of A, shares at the threshold, and ten bins of A's best.
+
+    With ``pairs`` and both sides' units every pair has a row: where a side is empty all but the counts is 0.
+    """
+    left, s = F.col("left"), F.col("sim")
     share = lambda side: F.coalesce(F.avg(F.when(side, (s >= threshold).cast("double"))), F.lit(0.0))
-    bins = F.array(*[F.count_if(a & (_bin(s) == i)) for i in range(10)])
-    return best.groupBy(*PAIR).agg(
-        F.count_if(a).alias("n_a"), F.count_if(~a).alias("n_b"), F.round(F.coalesce(F.avg(F.when(a, s)), F.lit(0.0)), 4).alias("mean_max_sim"),
-        F.round(share(a), 4).alias("fraction_matched_a"), F.round(share(~a), 4).alias("fraction_matched_b"), bins.alias("histogram"),
+    bins = F.array(*[F.count_if(left & (_bin(s) == i)) for i in range(10)])
+    found = best.groupBy(*PAIR).agg(
+        F.count_if(left).alias("n_a"), F.count_if(~left).alias("n_b"), F.round(F.coalesce(F.avg(F.when(left, s)), F.lit(0.0)), 4).alias("mean_max_sim"),
+        F.round(share(left), 4).alias("fraction_matched_a"), F.round(share(~left), 4).alias("fraction_matched_b"), bins.alias("histogram"),
     )
+    if pairs is None:
+        return found
+    out = pairs.select(*PAIR).join(found.drop("n_a", "n_b"), PAIR, "left")
+    for name, units in (("n_a", a), ("n_b", b)):
+        out = out.join(units.groupBy(*PAIR).agg(F.count("*").alias(name)), PAIR, "left")
+    zeros = F.array(*[F.lit(0).cast("long")] * 10)
+    return out.fillna(0).withColumn("histogram", F.coalesce("histogram", zeros)).select(*found.columns)

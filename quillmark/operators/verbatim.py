@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..model import VerbatimParams, text_kinds
+from ..plans.stash import stash
+from .alike import near_sentences
 
 PAIR = ["a_doc", "b_doc"]
 
@@ -281,11 +283,14 @@ def sentence_pairs(pairs: DataFrame, sents_a: DataFrame, sents_b: DataFrame, cov
         rows = rows.join(covered, [*PAIR, "id"], "left").where(F.coalesce("covered", F.lit(0.0)) < 0.8)
         return rows.select(*PAIR, *[F.col(c).alias(f"{side}_{c}") for c in ("id", "text", "page", "toks")])
 
-    both = eligible(sents_a, covered_a, "a").join(eligible(sents_b, covered_b, "b"), PAIR)
-    near = both.where(T.can_reach(F.col("a_toks"), F.col("b_toks"), params.near_threshold)).withColumn("ratio", T.indel_ratio("a_toks", "b_toks"))
-    near = near.where(F.col("ratio") >= params.near_threshold)
-    best = Window.partitionBy(*PAIR, "a_id").orderBy(F.desc("ratio"), "b_id")
-    return near.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(
-        *PAIR, F.col("a_id").alias("a_sentence"), F.col("b_id").alias("b_sentence"), "a_text", "b_text", F.round("ratio", 1).alias("score"),
+    sides = [stash(eligible(x, c, side), "eligible") for x, c, side in ((sents_a, covered_a, "a"), (sents_b, covered_b, "b"))]
+    units = [x.select(*PAIR, F.col(f"{side}_id").alias("id"), F.col(f"{side}_toks").alias("toks")) for x, side in zip(sides, "ab", strict=True)]
+    near = near_sentences(*units, PAIR, params.near_threshold)
+    best = near.groupBy(*PAIR, "a_id").agg(F.max(F.struct("ratio", (-F.col("b_id")).alias("minus"))).alias("m"))
+    best = best.select(*PAIR, "a_id", (-F.col("m.minus")).alias("b_id"), F.col("m.ratio").alias("ratio"))
+    for x, side in zip(sides, "ab", strict=True):
+        best = best.join(x.drop(f"{side}_toks"), [*PAIR, f"{side}_id"])
+    return best.select(
+        *PAIR, F.col("a_id").cast("int").alias("a_sentence"), F.col("b_id").cast("int").alias("b_sentence"), "a_text", "b_text", F.round("ratio", 1).alias("score"),
         F.when(F.col("ratio") >= params.exact_threshold, "exact").otherwise("near").alias("verdict"), "a_page", "b_page",
     )

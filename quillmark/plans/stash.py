@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL = "file:///tmp/checkpoints"  # of local sessions alone
+_small: list[bool] = []
 _ROOTS: set[str] = set()  # folders that are deleted at exit
 _RUN = uuid.uuid4().hex  # names the folder of this driver process
 
@@ -47,6 +48,8 @@ def stash(df: DataFrame, label: str, thin: bool = False) -> DataFrame:
     partitions holds them, and each file costs the store a few calls.
     """
     spark = df.sparkSession
+    if _small:
+        return spark.createDataFrame(df.toArrow(), df.schema)
     if thin:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     path = new_path(spark, label)
@@ -104,6 +107,16 @@ def numbered(df: DataFrame, key: str, row: str) -> DataFrame:
     return stash(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
+@contextmanager
+def in_memory() -> Iterator[None]:
+    """Stashes go through the driver's memory: for a pair of files alone, whose tables are a few MB."""
+    _small.append(True)
+    try:
+        yield
+    finally:
+        _small.pop()
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows while stashes are written: long texts make large batches."""

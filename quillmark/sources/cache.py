@@ -33,11 +33,12 @@ def store(part: DataFrame, root: str, name: str) -> None:
     part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(f"{root}/{name}")
 
 
-def load(spark: SparkSession, root: str, name: str, keys: DataFrame) -> DataFrame | None:
-    """Cached rows of the given keys, or None if nothing was ever stored."""
+def load(spark: SparkSession, root: str, name: str, keys: DataFrame, schema: str | None = None) -> DataFrame | None:
+    """Cached rows of the given keys, or None if nothing was ever stored; ``schema``, if given, need not be read from the files."""
     if not _exists(spark, f"{root}/{name}"):
         return None
-    return spark.read.parquet(f"{root}/{name}").join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
+    reader = spark.read.schema(f"{schema}, cache_key string") if schema else spark.read
+    return reader.parquet(f"{root}/{name}").join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
 
 
 def missing(found: DataFrame, root: str, name: str) -> DataFrame:
@@ -45,7 +46,7 @@ def missing(found: DataFrame, root: str, name: str) -> DataFrame:
     spark = found.sparkSession
     if not _exists(spark, f"{root}/{name}"):
         return found
-    return found.join(spark.read.parquet(f"{root}/{name}").select("cache_key").distinct(), "cache_key", "left_anti")
+    return found.join(spark.read.schema("cache_key string").parquet(f"{root}/{name}").distinct(), "cache_key", "left_anti")
 
 
 def clear(spark: SparkSession, root: str) -> None:

@@ -1,7 +1,8 @@
 """PDF pages as the ``blocks`` table, without a PDF library.
 
-Reads what most generated PDFs have: Flate or plain streams, object streams, and text operators.  Widths
-come from the font where it lists them, else half the size.  Encrypted files give no blocks.  Rendering
+Reads what most generated PDFs have: Flate or plain streams, object streams, text operators, simple and composite
+fonts and their ToUnicode programs.  Widths come from the font where it lists them, else half the size; a composite
+font without a ToUnicode program has no text.  Encrypted files give no blocks.  Rendering
 needs an engine and is left to adapters.
 """
 
@@ -9,9 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,18 +98,78 @@ def _resource(page: int, kind: bytes, objects: dict[int, bytes]) -> list[tuple[b
     return [(name, int(number)) for name, number in re.findall(rb"(/[^\s/]+)\s+(\d+)\s+\d+\s+R", table)]
 
 
-def _fonts(page: int, objects: dict[int, bytes]) -> dict[bytes, tuple[bool, int, list[float]]]:
-    """By resource name: whether bold, the first character code and the widths."""
-    out = {}
-    for name, number in _resource(page, b"Font", objects):
-        font = objects.get(number, b"")
-        ref = re.search(rb"/Widths\s+(\d+)\s+\d+\s+R", font)
-        widths = re.search(rb"\[(.*?)\]", objects.get(int(ref[1]), b""), re.S) if ref else re.search(rb"/Widths\s*\[(.*?)\]", font, re.S)
-        first = re.search(rb"/FirstChar\s+(\d+)", font)
-        out[name] = (b"bold" in font.lower(), int(first[1]) if first else 0, [float(x) for x in widths[1].split()] if widths else [])
+class Font:
+    """How a font's strings read: codes of one byte or two, their characters and their widths."""
+
+    def __init__(self, body: bytes = b"", objects: dict[int, bytes] | None = None):
+        objects = objects or {}
+        self.bold = b"bold" in body.lower()
+        self.bytes, self.default, self.widths = 1, 500.0, {}
+        below = _refs(body, b"DescendantFonts")
+        if below:  # a composite font: two bytes a code, as in the usual Identity encoding
+            inner = objects.get(below[0], b"")
+            if re.fullmatch(rb"\s*\[.*\]\s*", inner, re.S):
+                inner = objects.get(int((re.findall(rb"(\d+)\s+\d+\s+R", inner) or [b"0"])[0]), b"")
+            self.bytes, self.bold = 2, self.bold or b"bold" in inner.lower()
+            self.default = float((re.search(rb"/DW\s+([\d.]+)", inner) or [b"", b"1000"])[1])
+            self._ranges(_array(inner, b"W", objects))
+        else:
+            first = re.search(rb"/FirstChar\s+(\d+)", body)
+            values = [float(x) for x in re.findall(rb"[\d.]+", _array(body, b"Widths", objects))]
+            self.widths = dict(enumerate(values, int(first[1]) if first else 0))
+        told = _refs(body, b"ToUnicode")
+        self.characters = _character_map(_stream(objects.get(told[0], b""), objects)) if told else {}
+
+    def _ranges(self, listed: bytes) -> None:
+        """``/W``: a code and the list of widths from it on, or two codes and the width of all between."""
+        for m in re.finditer(rb"(\d+)\s*\[([^\]]*)\]|(\d+)\s+(\d+)\s+([\d.]+)", listed):
+            if m[1]:
+                self.widths.update(enumerate(map(float, m[2].split()), int(m[1])))
+            else:
+                self.widths.update(dict.fromkeys(range(int(m[3]), min(int(m[4]), 0xFFFF) + 1), float(m[5])))
+
+    def read(self, raw: bytes) -> tuple[str, float]:
+        """Characters of a string and its width in thousandths of the size."""
+        codes = raw if self.bytes == 1 else [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)]
+        wide = sum(self.widths.get(c, self.default) for c in codes)
+        if not self.characters:
+            return (raw.decode("cp1252", "replace") if self.bytes == 1 else ""), wide
+        other = (lambda c: bytes([c]).decode("cp1252", "replace")) if self.bytes == 1 else (lambda c: "")
+        return "".join(self.characters[c] if c in self.characters else other(c) for c in codes), wide
+
+
+def _array(body: bytes, key: bytes, objects: dict[int, bytes]) -> bytes:
+    """What stands between the brackets of an array, there or by reference."""
+    link = re.search(rb"/" + key + rb"\s+(\d+)\s+\d+\s+R", body)
+    if link:
+        found = re.search(rb"\[(.*)\]", objects.get(int(link[1]), b""), re.S)
+    else:
+        found = re.search(rb"/" + key + rb"\s*\[((?:[^\[\]]|\[[^\]]*\])*)\]", body, re.S)
+    return found[1] if found else b""
+
+
+def _character_map(program: bytes) -> dict[int, str]:
+    """Characters by code from a ToUnicode program: single codes, ranges, and ranges with a list."""
+    text = lambda h: bytes.fromhex(re.sub(rb"\s", b"", h).decode()).decode("utf-16-be", "replace")
+    out: dict[int, str] = {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", program, re.S):
+        for code, to in re.findall(rb"<([0-9A-Fa-f\s]+)>\s*<([0-9A-Fa-f\s]*)>", block):
+            out[int(code, 16)] = text(to)
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", program, re.S):
+        for low, high, to, listed in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f\s]*)>|\[([^\]]*)\])", block):
+            lo, hi = int(low, 16), min(int(high, 16), int(low, 16) + 0xFFFF)
+            if listed:
+                out.update(zip(range(lo, hi + 1), (text(x) for x in re.findall(rb"<([0-9A-Fa-f\s]*)>", listed))))
+            elif start := text(to):
+                out.update({c: start[:-1] + chr(min(ord(start[-1]) + c - lo, 0x10FFFF)) for c in range(lo, hi + 1)})
     return out
 
 
+def _fonts(page: int, objects: dict[int, bytes]) -> dict[bytes, Font]:
+    """Fonts by resource name."""
+    return {name: Font(objects.get(number, b""), objects) for name, number in _resource(page, b"Font", objects)}
+
+
 def _literal(token: bytes) -> bytes:
     if token[:1] == b"<":
         digits = re.sub(rb"\s", b"", token[1:-1])
@@ -126,7 +189,7 @@ def _shows(content: bytes, fonts: dict, placed: list | None = None) -> Iterator[
     """
     one = [1.0, 0, 0, 1, 0, 0]
     ctm, stack, tm, lm = one, [], one, one
-    font, size, lead, args = (False, 0, []), 1.0, 0.0, []
+    font, size, lead, args = Font(), 1.0, 0.0, []
     inside: list | None = None
     for m in _TOKEN.finditer(content):
         t = m[0]
@@ -152,7 +215,7 @@ def _shows(content: bytes, fonts: dict, placed: list | None = None) -> Iterator[
             elif t == b"BT":
                 tm = lm = one
             elif t == b"Tf" and len(args) >= 2 and nums:
-                font, size = fonts.get(args[-2], (False, 0, [])), nums[-1]
+                font, size = fonts.get(args[-2]) or Font(), nums[-1]
             elif t == b"TL" and nums:
                 lead = nums[-1]
             elif t in (b"Td", b"TD") and len(nums) >= 2:
@@ -163,7 +226,6 @@ def _shows(content: bytes, fonts: dict, placed: list | None = None) -> Iterator[
             elif t in (b"T*", b"'", b'"'):
                 tm = lm = _product([1, 0, 0, 1, 0, -lead], lm)
             if t in (b"Tj", b"TJ", b"'", b'"') and args:
-                bold, first, widths = font
                 text, along = "", 0.0
                 for x in args[-1] if isinstance(args[-1], list) else [args[-1]]:
                     if isinstance(x, float):
@@ -171,13 +233,14 @@ def _shows(content: bytes, fonts: dict, placed: list | None = None) -> Iterator[
                         if x < -180:
                             text += " "
                     elif isinstance(x, bytes):
-                        text += x.decode("cp1252", "replace")
-                        along += sum((widths[c - first] if first <= c < first + len(widths) else 500) / 1000 * size for c in x)
+                        shown, wide = font.read(x)
+                        text += shown
+                        along += wide / 1000 * size
                 at = _product(tm, ctm)
                 scale = (at[2] ** 2 + at[3] ** 2) ** 0.5
                 wide = (at[0] ** 2 + at[1] ** 2) ** 0.5
                 if wide and abs(at[0] / wide - 1) <= 0.05 and abs(at[1] / wide) <= 0.05 and text:
-                    yield text, at[4], at[5], along * wide, size * scale, bold
+                    yield text, at[4], at[5], along * wide, size * scale, font.bold
                 tm = _product([1, 0, 0, 1, along, 0], tm)
             args = []
 
@@ -321,6 +384,37 @@ def annotate(data: bytes, marks: list[tuple[int, tuple[float, float, float, floa
     return bytes(out)
 
 
+def page_sizes(data: bytes) -> Iterator[tuple[int, float, float]]:
+    """(page, width, height) of every page of a file, with text or without."""
+    if b"/Encrypt" in data[-4096:]:
+        return
+    objects = _objects(data)
+    for number, page in enumerate(_pages(objects)):
+        box = re.search(rb"/MediaBox\s*\[([^\]]*)\]", _inherited(page, b"MediaBox", objects) or b"")
+        x0, y0, x1, y1 = map(float, box[1].split()) if box else (0, 0, 612, 792)
+        yield number, x1 - x0, y1 - y0
+
+
+def read_pages(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``doc_id, page, width, height`` of files given as ``doc_id, content``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, *x) for k, content in zip(frame[key], frame["content"], strict=True) for x in page_sizes(bytes(content or b""))]
+            yield pd.DataFrame(rows, columns=[key, "page", "width", "height"])
+
+    return files.select(F.col(key).cast("long").alias(key), "content").mapInPandas(run, f"{key} long, page int, width double, height double")
+
+
+def png(height: int, width: int, channels: int, data: bytes) -> bytes:
+    """A PNG file of grey or BGR rows."""
+    rows = np.frombuffer(data, np.uint8).reshape(height, width, channels)[..., ::-1]
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), rows.reshape(height, -1)], axis=1).tobytes()
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
 def read_blocks(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """The ``blocks`` table of files given as ``doc_id, content``."""
 

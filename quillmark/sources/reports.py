@@ -18,6 +18,7 @@ from ..model import FIGURE_VERDICTS, LEVELS
 
 PAIR = ["a_doc", "b_doc"]
 VERSION = "1"
+THUMB_WIDTH = 360  # of pictures in a page
 
 
 def _count(condition) -> F.Column:
@@ -75,12 +76,16 @@ def _rows(df: DataFrame | None) -> list[dict] | None:
     return None if df is None else [r.asDict(recursive=True) for r in df.collect()]
 
 
-def result(a: dict, b: dict, summary_row: dict, verbatim: dict[str, DataFrame], semantic: DataFrame | None = None, images: DataFrame | None = None, notes: dict[str, str] | None = None, timings: dict[str, float] | None = None, generated: str = "") -> dict:
+def result(
+    a: dict, b: dict, summary_row: dict, verbatim: dict[str, DataFrame], semantic: DataFrame | None = None, images: DataFrame | None = None, notes: dict[str, str] | None = None,
+    timings: dict[str, float] | None = None, generated: str = "", statistics: DataFrame | None = None, params: dict[str, dict] | None = None,
+) -> dict:
     """Everything about one pair, as JSON holds it; a layer that wasn't run is null and has a note."""
-    notes = notes or {}
+    notes, params = notes or {}, params or {}
+    told = {r["level"]: {k: v for k, v in r.items() if k not in (*PAIR, "level")} for r in _rows(statistics) or []}
     return {
-        "version": VERSION, "generated": generated, "a": a, "b": b, "summary": summary_row, "timings_s": {k: round(v, 2) for k, v in (timings or {}).items()},
-        "verbatim": {k: _rows(v) for k, v in verbatim.items()}, "semantic": _rows(semantic), "semantic_note": notes.get("semantic", ""),
+        "version": VERSION, "generated": generated, "a": a, "b": b, "summary": summary_row, "params": params, "timings_s": {k: round(v, 2) for k, v in (timings or {}).items()},
+        "verbatim": {k: _rows(v) for k, v in verbatim.items()}, "semantic": _rows(semantic), "semantic_statistics": told, "semantic_note": notes.get("semantic", ""),
         "images": _rows(images), "images_note": notes.get("images", ""),
     }
 
@@ -89,28 +94,40 @@ def to_json(found: dict) -> str:
     return json.dumps(found, indent=1, ensure_ascii=False, default=str)
 
 
-def to_text(found: dict) -> str:
-    """The console summary."""
-    s = found["summary"]
-    lines = [
-        f"{found['a']['name']} vs {found['b']['name']}",
-        f"  verbatim : {s['coverage_a']:.1%} of A / {s['coverage_b']:.1%} of B inside {s['runs']} runs ({s['exact_runs']} exact, {s['near_runs']} near; longest {s['longest_run']} words); {s['near_sentences']} near-verbatim sentences",
-    ]
-    if found["semantic"] is None:
-        lines.append(f"  semantic : skipped ({found['semantic_note'] or 'disabled'})")
-    else:
-        lines.append(f"  semantic : {s['semantic_pairs']} paraphrase-only pairs ({s['sentence_pairs']} sentences, {s['paragraph_pairs']} paragraphs)   [weaker evidence]")
-    if found["images"] is None:
-        lines.append(f"  figures  : skipped ({found['images_note'] or 'disabled'})")
-    else:
-        lines.append("  figures  : " + ", ".join(f"{s[f'figures_{v}']} {v}" for v in FIGURE_VERDICTS))
-    return "\n".join(lines)
+def to_text(found: dict, files: dict[str, str] | None = None) -> str:
+    """The console summary, and where the files are."""
+    s, told = found["summary"], found.get("semantic_statistics") or {}
+    mean = {lv: told.get(lv, {}).get("mean_max_sim", 0.0) for lv in LEVELS}
+    shown = [found[side].get("n_figures") for side in "ab"]
+    #: The wording of the summary's lines, a line each.
+    wording = {
+        "verbatim": "  verbatim : {coverage_a:.1%} of A / {coverage_b:.1%} of B inside {runs} runs ({exact_runs} exact, {near_runs} near; longest {longest_run} words); {near_sentences} near-verbatim sentences",
+        "semantic": "  semantic : {semantic_pairs} paraphrase-only pairs ({sentence_pairs} sentences, {paragraph_pairs} paragraphs); mean max-sim sent {sentence:.2f} / para {paragraph:.2f}   [weaker evidence]",
+        "images": "  figures  : {figures_exact} exact, {figures_same} same, {figures_cropped} cropped, {figures_similar} similar   ({n_a} vs {n_b} figures)",
+        "skipped": "  {layer:8} : skipped ({note})",
+        "file": "  {label:9}: {path}",
+    }
+    lines = [f"{found['a']['name']} vs {found['b']['name']}", wording["verbatim"].format(**s)]
+    for layer, name, more in (("semantic", "semantic", mean), ("images", "figures", {"n_a": shown[0], "n_b": shown[1]})):
+        if found[layer] is None:
+            lines.append(wording["skipped"].format(layer=name, note=found[f"{layer}_note"] or "disabled"))
+        else:
+            lines.append(wording[layer].format(**s, **more))
+    return "\n".join(lines + [wording["file"].format(label=k, path=v) for k, v in (files or {}).items()])
 
 
 def to_html(found: dict, images: dict[tuple[str, int], bytes] | None = None) -> str:
-    """A page with the summary, runs with their differences, near sentences, paraphrases and figures."""
+    """A page with the summary, parameters, runs with their differences, near sentences, paraphrases and figures.
+
+    ``images`` has PNG files by side and figure id; a figure without one is named only.
+    """
     esc = lambda x: html.escape(str(x))
     out = ["<!DOCTYPE html><html lang=en><meta charset=utf-8><title>Shared material</title>", f"<pre>{esc(to_text(found))}</pre>"]
+    for side in "ab":
+        doc = found[side]
+        facts = [f"{doc[k]} {k.removeprefix('n_')}" for k in ("n_pages", "n_paragraphs", "n_sentences", "n_figures") if k in doc]
+        facts += [f"OCR on pages {', '.join(map(str, doc['ocr_pages']))}"] if doc.get("ocr_pages") else []
+        out.append(f"<p>{side.upper()}: <b>{esc(doc.get('title') or '(no title found)')}</b> {esc(', '.join(facts))}</p>")
 
     def both(head: str, left: str, right: str) -> None:
         out.append(f"<section><h3>{head}</h3><div>{left}</div><div>{right}</div></section>")
@@ -122,7 +139,15 @@ def to_html(found: dict, images: dict[tuple[str, int], bytes] | None = None) ->
         both(f"{r['verdict']} sentence, score {r['score']}", *marked_difference(r["a_text"], r["b_text"]))
     for r in sorted(found["semantic"] or [], key=lambda r: (r["level"] != "paragraph", -r["score"])):
         both(f"{r['level']}, cosine {r['score']}", esc(r["a_text"]), esc(r["b_text"]))
+
+    def picture(side: str, r: dict) -> str:
+        made = (images or {}).get((side, r[f"{side}_id"]))
+        name = f"figure {r[f'{side}_id']}" + (f": {r[f'{side}_caption']}" if r.get(f"{side}_caption") else "")
+        return (f'<img src="data:image/png;base64,{base64.b64encode(made).decode()}" width={THUMB_WIDTH}>' if made else "") + f"<p>{esc(name)}</p>"
+
     for r in found["images"] or []:
-        picture = lambda side, r=r: f'<img src="data:image/png;base64,{base64.b64encode((images or {}).get((side, r[f"{side}_id"]), b"")).decode()}" width=360>'
-        both(f"figure {r['verdict']}, pHash {r['phash_distance']}", picture("a"), picture("b"))
+        both(f"figure {r['verdict']}, pHash {r['phash_distance']}", picture("a", r), picture("b", r))
+    for level, told in (found.get("semantic_statistics") or {}).items():
+        out.append(f"<p>{esc(level)} similarities: {esc(', '.join(f'{k} {v}' for k, v in told.items()))}</p>")
+    out.append(f"<pre>{esc(json.dumps(found.get('params') or {}, indent=1))}</pre>")
     return "\n".join([*out, "</html>"])

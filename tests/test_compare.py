@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 from test_sources import make_pdf
 
 from quillmark.__main__ import main
-from quillmark.model import SemanticParams
+from quillmark.model import ExtractOptions, SemanticParams
 from quillmark.plans.compare import compare, extract
 from quillmark.sources import pdf
 
-COPIED = ["The prefetcher keeps a table of strides and confidence counters for", "every load and issues requests only when measured bandwidth leaves", "room for them."]
-OWN_A = ["Latency of remote loads dominates what threads wait for today."]
-OWN_B = ["What threads wait for is mostly how slow remote loads are."]
+COPIED = ["The harbour keeps a list of tides and of wind warnings for all of the", "berths and lets small boats out only when the observed swell leaves", "room for them."]
+OWN_A = ["Delay of remote ferries decides when our islanders eat today."]
+OWN_B = ["When our islanders eat is mostly how late remote ferries are."]
 OTHER = ["Nothing of this stands in the second of the two files."]
 
 
@@ -45,7 +45,7 @@ def picture():
 
 def test_three_layers(spark):
     def vectors():
-        topics = {"remote": 0, "prefetcher": 1, "Nothing": 2}
+        topics = {"remote": 0, "harbour": 1, "Nothing": 2}
         return lambda texts: np.array([[float(k in t) + 0.01 for k in topics] for t in texts])
 
     files = [(1, "/x/a.pdf", bytearray(paper(COPIED, OWN_A, OTHER, image=picture()))), (2, "/x/b.pdf", bytearray(paper(OWN_B, COPIED, image=picture())))]
@@ -76,6 +76,30 @@ def test_images_keep_their_colours(spark):
     assert (np.frombuffer(data, np.uint8).reshape(90, 120, 3)[..., ::-1] == picture()).all()
 
 
+def test_figures_without_pixels_can_be_exact_copies(spark):
+    jpeg = lambda data: data.replace(b"/Filter /FlateDecode >> stream\n" + zlib.compress(picture().tobytes()), b"/Filter /DCTDecode >> stream\nsame bytes")
+    files = [(1, "a.pdf", bytearray(jpeg(paper(COPIED, image=picture())))), (2, "b.pdf", bytearray(jpeg(paper(OWN_B, image=picture())))), (3, "c.pdf", bytearray(paper(OWN_A, image=picture())))]
+    found = extract(spark.createDataFrame(files, "doc_id long, path string, content binary"))
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a_doc long, b_doc long")
+    got = compare(found, found, pairs, images=pdf_params()).figures.collect()
+    assert [(r.a_doc, r.b_doc, r.verdict) for r in got] == [(1, 2, "exact")]
+
+
+def test_scanned_pages_go_to_the_recogniser(spark):
+    asked = []
+
+    def read(data, page, dpi):
+        words = ["Scanned", "words", "that", "stand", "on", f"page{page}"]
+        return ["level"] + [f"5\t1\t1\t1\t1\t{i}\t{300 + 90 * i}\t300\t80\t40\t90\t{w}" for i, w in enumerate(words)]
+
+    files = spark.createDataFrame([(1, "a.pdf", bytearray(make_pdf([[("F1", 9, 54, 700, "A first page with text.")], []])))], "doc_id long, path string, content binary")
+    found = extract(files, ExtractOptions(ocr="on"), read)
+    assert sorted(r.text for r in found.paragraphs.collect()) == ["Scanned words that stand on page0", "Scanned words that stand on page1"]
+    doc = found.docs.first()
+    assert (doc.n_pages, doc.ocr_pages) == (2, [1, 2]) and not asked
+    assert [r.text for r in extract(files, ExtractOptions(ocr="off"), read).paragraphs.collect()] == ["A first page with text."]
+
+
 def test_command_line(spark, tmp_path, capsys):
     a, b = tmp_path / "a.pdf", tmp_path / "b.pdf"
     a.write_bytes(paper(COPIED, OWN_A))
@@ -84,7 +108,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(a), str(b), "--out", str(tmp_path / "out")]) == 0
     told = json.loads((tmp_path / "out/result.json").read_text())
     assert told["summary"]["exact_runs"] == 1 and told["semantic"] is None and told["images"] == []
-    assert "1 exact" in capsys.readouterr().out and (tmp_path / "out/report.html").read_text().startswith("<!DOCTYPE html>")
+    shown = capsys.readouterr().out
+    assert "1 exact" in shown and "(0 vs 0 figures)" in shown and "report.html" in shown
+    assert told["params"]["verbatim"]["min_run"] == 12 and told["a"]["n_pages"] == 1 and told["a"]["n_sentences"] > 0
+    again = ["--cache-dir", str(tmp_path / "cache"), "--json-only", "--quiet", "--min-run", "9", "--no-semantic", "--out", str(tmp_path / "again")]
+    for _ in range(2):  # the second time from the cache
+        assert main([str(a), str(b), *again]) == 0
+    kept = json.loads((tmp_path / "again/result.json").read_text())
+    assert kept["verbatim"] == told["verbatim"] and kept["a"] == told["a"] and kept["semantic_note"] == "disabled" and len(list((tmp_path / "again").iterdir())) == 1
+    assert len(list((tmp_path / "cache/docs").glob("cache_key=*"))) == 2
+    assert capsys.readouterr().out == "" and (tmp_path / "out/report.html").read_text().startswith("<!DOCTYPE html>")
     marked = (tmp_path / "out/a_a.annotated.pdf").read_bytes()
     assert marked.count(b"/Highlight") == 3 and [x[4][0]["text"] for x in pdf.page_blocks(marked)] == [x[4][0]["text"] for x in pdf.page_blocks(a.read_bytes())]
     assert F is not None

@@ -70,6 +70,15 @@ def test_nearest_in_blocks_matches_a_matrix(spark):
     assert math.isclose(s.mean_max_sim, sim.max(1).mean(), abs_tol=1e-4) and math.isclose(s.fraction_matched_b, (sim.max(0) >= 0.5).mean(), abs_tol=1e-4)
 
 
+def test_statistics_of_an_empty_side(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "a_doc long, b_doc long")
+    rows = lambda ids: spark.createDataFrame([(a, b, i, [1.0, 0.0]) for a, b, i in ids], "a_doc long, b_doc long, id long, vec array<double>")
+    a, b = rows([(1, 2, 0), (1, 2, 1), (1, 3, 0)]), rows([(1, 2, 7)])
+    got = {(r.a_doc, r.b_doc): r for r in S.statistics(S.nearest(a, b), 0.5, pairs, a, b).collect()}
+    assert (got[1, 2].n_a, got[1, 2].n_b, got[1, 2].mean_max_sim) == (2, 1, 1.0)
+    assert (got[1, 3].n_a, got[1, 3].n_b, got[1, 3].mean_max_sim, got[1, 3].histogram) == (1, 0, 0.0, [0] * 10) and got[4, 5].n_a == 0
+
+
 def test_units_that_runs_explain_are_left_out(spark):
     long = "one two three four five six seven eight nine ten"
     units = spark.createDataFrame([(1, 0, 0, "body", long, (0, 48)), (1, 1, 1, "body", long, (0, 48)), (1, 2, 2, "heading", long, (0, 48)), (1, 3, 3, "body", "few", (0, 3)), (1, 4, 4, "body", long, (0, 48))], "doc_id long, id int, para int, kind string, text string, span struct<start:int,end:int>")

@@ -45,6 +45,30 @@ def test_pdf_to_paragraphs(spark):
     assert L.titles(units).first().title == "A Paper With Five Words"
 
 
+def test_fonts_with_a_character_map():
+    program = b"beginbfchar <0003> <0020> <0010> <00660069> endbfchar 1 beginbfrange <0024> <0026> <0041> <0030> <0031> [<0078> <D83DDE00>] endbfrange"
+    content = b"BT /F1 10 Tf 50 700 Td <00240025000300260010003000310099> Tj ET BT /F2 10 Tf 50 600 Td (\001\002b) Tj ET"
+    objects = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 612 792] >>",
+        3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R /F2 8 0 R >> >> >>", 4: b"<< >> stream\n%s\nendstream" % content,
+        5: b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [6 0 R] /ToUnicode 7 0 R >>", 6: b"<< /Type /Font /BaseFont /X-Bold /DW 500 /W [3 [250] 36 38 600] >>",
+        7: b"<< >> stream\n%s\nendstream" % program, 8: b"<< /Type /Font /FirstChar 1 /Widths [400 400] /ToUnicode 9 0 R >>", 9: b"<< >> stream\nbeginbfchar <01> <0416> <02> <6F22> endbfchar\nendstream",
+    }
+    data = b"%PDF-1.4\n" + b"".join(b"%d 0 obj %s endobj\n" % x for x in objects.items())
+    lines = [ln for _, _, _, _, made in pdf.page_blocks(data) for ln in made]
+    assert [ln["text"] for ln in lines] == ["AB Cfix\U0001f600", "\u0416\u6f22b"]
+    assert lines[0]["bold_chars"] == len(lines[0]["text"]) and abs(lines[0]["bbox"]["x1"] - 50 - (3 * 6 + 2.5 + 4 * 5)) < 1e-6
+    assert list(pdf.page_sizes(data)) == [(0, 612.0, 792.0)]
+
+
+def test_png_can_be_read_back():
+    rows = bytes(range(24))
+    made = pdf.png(2, 4, 3, rows)
+    at = made.index(b"IDAT")
+    lines = zlib.decompress(made[at + 4 : at + 4 + int.from_bytes(made[at - 4 : at], "big")])
+    assert lines[:4] == bytes([0, 2, 1, 0]) and len(lines) == 26 and made.startswith(b"\x89PNG")
+
+
 def test_cache_round_trip(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(2):
