@@ -7,6 +7,10 @@ shuffles begin with the fingerprint join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +56,18 @@ def plain_streams(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", toks.alias("toks"))
 
 
+def stream_key(toks: Column) -> Column:
+    """A digest that equal token streams share."""
+    return F.md5(F.array_join(F.transform(toks, lambda t: t.tok), " ").cast("binary"))
+
+
+def classes(stream: DataFrame) -> DataFrame:
+    """``doc_id, copies, toks``: each stream of tokens once, under its least doc_id, with how many documents have it."""
+    keyed = stream.where(F.size("toks") > 0).select("doc_id", stream_key(F.col("toks")).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return stream.join(least.drop("key"), "doc_id").select("doc_id", "copies", "toks")
+
+
 def tokens(stream: DataFrame) -> DataFrame:
     """``doc_id, pos, tok, para, start, end``."""
     return stream.select("doc_id", F.posexplode("toks").alias("pos", "t")).select("doc_id", "pos", "t.*")
@@ -129,21 +145,57 @@ def shared_fingerprints(a: DataFrame, b: DataFrame, ordered: bool = False) -> Da
 # --- runs -------------------------------------------------------------------------
 
 
+def _stretches(a: np.ndarray, b: np.ndarray, seeds: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+    """Maximal equal stretches of k tokens and more that hold a seed; tokens are numbers, seeds pairs of places."""
+    out = []
+    diagonal = seeds[:, 0] - seeds[:, 1]
+    for d in np.unique(diagonal):
+        at = seeds[diagonal == d, 0]
+        lo, hi = max(0, d), min(len(a), len(b) + d)
+        edge = np.diff(np.concatenate([[0], a[lo:hi] == b[lo - d : hi - d], [0]]).astype(np.int8))
+        start, stop = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo
+        nth = np.searchsorted(start, at, side="right") - 1
+        if not len(start):
+            continue
+        good = (nth >= 0) & (at + k <= stop[np.maximum(nth, 0)])
+        for i in np.unique(nth[good]):
+            out.append((int(start[i]), int(stop[i]), int(start[i] - d), int(stop[i] - d)))
+    return out
+
+
 def exact_runs(sa: DataFrame, sb: DataFrame, found: DataFrame, k: int = 6) -> DataFrame:
     """``a_doc, b_doc, a0, a1, b0, b1``: maximal equal stretches that contain a seed.
 
-    Windows of k equal tokens join on the tokens themselves, so equal hashes of other tokens never
-    count; consecutive ones on a diagonal are an island, and an island needs a seed on it.
+    The tokens of a pair's documents come together in one row with the pair's seeds, and each seed is extended on its
+    diagonal by comparing the tokens themselves, so equal hashes of other tokens never count.  Documents in no
+    pair are not read further.
     """
-    pairs = found.select(*PAIR).distinct()
-    ga = kgrams(sa, k).select(F.col("doc_id").alias("a_doc"), F.col("pos").alias("i"), "gram")
-    gb = kgrams(sb, k).select(F.col("doc_id").alias("b_doc"), F.col("pos").alias("j"), "gram")
-    both = pairs.join(ga, "a_doc").join(gb, ["b_doc", "gram"]).select(*PAIR, "i", "j", (F.col("i") - F.col("j")).alias("d"))
-    line = Window.partitionBy(*PAIR, "d").orderBy("i")
-    islands = both.withColumn("island", F.col("i") - F.row_number().over(line)).groupBy(*PAIR, "d", "island").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    marks = found.select(*PAIR, (F.col("i") - F.col("j")).alias("d"), F.col("i").alias("at")).distinct()
-    alive = islands.join(marks, [*PAIR, "d"]).where("at between lo and hi").select(*PAIR, "d", "lo", "hi").distinct()
-    return alive.select(*PAIR, F.col("lo").alias("a0"), (F.col("hi") + k).alias("a1"), (F.col("lo") - F.col("d")).alias("b0"), (F.col("hi") - F.col("d") + k).alias("b1"))
+    kinds = {c: found.schema[c].dataType.simpleString() for c in PAIR}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x.slice(lo, 256) for x in batches for lo in range(0, x.num_rows, 256)):
+            sides = [batch.column(i) for i in (2, 3)]
+            offs = [x.offsets.to_numpy() for x in sides]
+            parts = [x.values.slice(o[0], o[-1] - o[0]) for x, o in zip(sides, offs, strict=True)]
+            offs = [o - o[0] for o in offs]
+            codes = pa.concat_arrays(parts).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            split = len(parts[0])
+            places = batch.column(4)
+            seed_off, flat = places.offsets.to_numpy(), np.stack([places.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1).astype(np.int64)
+            who, made = [], []
+            for r in range(batch.num_rows):
+                a = codes[offs[0][r] : offs[0][r + 1]]
+                b = codes[split + offs[1][r] : split + offs[1][r + 1]]
+                rows = _stretches(a, b, flat[seed_off[r] : seed_off[r + 1]], k)
+                who += [r] * len(rows)
+                made += rows
+            at = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([m[i] for m in made], pa.int32()) for i in range(4))], [*PAIR, "a0", "a1", "b0", "b1"])
+
+    words = lambda s, side: s.select(F.col("doc_id").alias(f"{side}_doc"), F.transform("toks", lambda t: t.tok).alias(f"w{side}"))
+    pairs = found.groupBy(*PAIR).agg(F.collect_set(F.struct("i", "j")).alias("seeds"))
+    both = pairs.join(words(sa, "a"), "a_doc").join(words(sb, "b"), "b_doc").select(*PAIR, "wa", "wb", "seeds")
+    return both.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in PAIR) + ", a0 int, a1 int, b0 int, b1 int")
 
 
 def merge_runs(exact: DataFrame, max_gap: int = 3) -> DataFrame:

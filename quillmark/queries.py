@@ -142,10 +142,26 @@ def fingerprint_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.groupBy("h").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("places"))
 
 
-@query(f"{_DOCS_FP} select x.d a_doc, y.d b_doc, count(*)::bigint shared, sum(len(x.ps) * len(y.ps))::bigint places from fp_u x join fp_u y on x.h = y.h and x.d < y.d group by 1, 2")
+@query(
+    f"{_DOCS_FP}, cl as (select d, min(d) over (partition by t) rep, count(*) over (partition by t) copies from tk where len(t) > 0), fr as (select fp_u.*, copies from fp_u join cl using (d) where d = rep) "
+    "select x.d a_doc, y.d b_doc, any_value(x.copies)::bigint a_copies, any_value(y.copies)::bigint b_copies, count(*)::bigint shared, sum(len(x.ps) * len(y.ps))::bigint places from fr x join fr y on x.h = y.h and x.d < y.d group by x.d, y.d"
+)
 def shared_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = stash(V.usable(V.fingerprints(V.plain_streams(_docs(spark, sf_dir)))), "prints")
-    return V.shared_fingerprints(prints, prints, ordered=True)
+    """Pairs of token streams that share a fingerprint, each with its least document; ``document_classes`` has the members."""
+    classes = stash(V.classes(V.plain_streams(_docs(spark, sf_dir))), "classes")
+    prints = stash(V.usable(V.fingerprints(classes)), "prints")
+    found = V.shared_fingerprints(prints, prints, ordered=True)
+    for side in "ab":
+        found = found.join(classes.select(F.col("doc_id").alias(f"{side}_doc"), F.col("copies").alias(f"{side}_copies")), f"{side}_doc")
+    return found.select("a_doc", "b_doc", "a_copies", "b_copies", "shared", "places")
+
+
+@query(f"with {_tok('tk', 'documents', 'doc_id')} select d doc_id, min(d) over (partition by t) representative from tk where len(t) > 0")
+def document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least document with the same tokens, for every document that has any."""
+    streams = V.plain_streams(_docs(spark, sf_dir)).where(F.size("toks") > 0).withColumn("key", V.stream_key(F.col("toks")))
+    members = streams.select("doc_id", "key")
+    return members.join(members.groupBy("key").agg(F.min("doc_id").alias("representative")), "key").select("doc_id", "representative")
 
 
 # --- runs: benchmark items against documents --------------------------------------
