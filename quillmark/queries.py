@@ -276,7 +276,12 @@ def lines_without_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text -------------------------------------------------------------------------
 
 
-@query()
+@query(
+    "with a as (select doc_id, translate(text, '" + "".join(T.ONE_TO_ONE).replace("'", "''") + "', '" + "".join(T.ONE_TO_ONE.values()).replace("'", "''") + "') t from documents), "
+    "b as (select doc_id, nfc_normalize(" + "".join("replace(" for _ in [*T.DELETED, *T.LIGATURES]) + "t" + "".join(f", '{g}', '{x}')" for g, x in [*((g, '') for g in T.DELETED), *T.LIGATURES.items()]) + ") t from a), "
+    "c as (select doc_id, regexp_replace(regexp_replace(t, '([\\p{L}\\p{N}_])-[\\s\\x0B]*\\n[\\s\\x0B]*([a-z])', '\\1\\2', 'g'), '[\\s\\x0B]*\\n[\\s\\x0B]*', ' ', 'g') t from b) "
+    "select doc_id, regexp_replace(regexp_replace(t, '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') text from c"
+)
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("text"))
 
@@ -313,35 +318,72 @@ def difference_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- layout -----------------------------------------------------------------------
 
 
-def _blocks(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(X.BLOCKS, "doc_id long, page int, block_no int, page_height double, x0 double, y0 double, x1 double, y1 double, size double, bold int, text string")
+# The driver's tables have no page boxes, so documents are laid out by a rule that Spark and SQL share: the lines of a
+# text, cleaned of what normalisation would change, follow one another as blocks, 16 a page; size, boldness and place
+# follow from a line's length and number.  Blocks of the first document of the fixtures come beside them.
+
+_LINES = 16  # blocks a page
+_CLEAN = "[^A-Za-z0-9.,:!?()]+"
+
+
+def _laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, page, block_no, h, x0, y0, x1, y1, size, bold, text`` of all documents and of the fixture's."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    lines = lines.select("doc_id", "n", F.btrim(F.regexp_replace("raw", _CLEAN, " ")).alias("text")).where("text <> ''").withColumn("k", F.length("text"))
+    at = F.col("n") % _LINES
+    size = F.when(F.col("k") % 5 == 0, 14.0).when(F.col("k") % 7 == 0, 11.0).otherwise(9.0)
+    x0 = (54 + 10 * (F.col("n") % 3)).cast("double")
+    rows = lines.select(
+        "doc_id", F.floor(F.col("n") / _LINES).cast("int").alias("page"), at.cast("int").alias("block_no"), F.lit(792.0).alias("h"), x0.alias("x0"), (20 + 47 * at).cast("double").alias("y0"),
+        (x0 + F.least(F.lit(4) * F.col("k"), F.lit(480))).alias("x1"), (32 + 47 * at).cast("double").alias("y1"), size.alias("size"), F.when(F.col("k") % 11 == 0, F.col("k")).otherwise(0).cast("int").alias("bold"), "text",
+    )
+    fixed = spark.createDataFrame(X.BLOCKS, "doc_id long, page int, block_no int, h double, x0 double, y0 double, x1 double, y1 double, size double, bold int, text string")
+    return rows.union(fixed.withColumn("doc_id", -F.col("doc_id")))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _laid_out(spark, sf_dir)
     box = F.struct("x0", "y0", "x1", "y1")
     n = F.length("text")
     line = F.struct(F.col("text"), box.alias("bbox"), F.array(F.struct("size", n.alias("n"))).alias("sizes"), F.col("bold").alias("bold_chars"), n.alias("chars"))
-    return rows.select("doc_id", "page", "block_no", "page_height", box.alias("bbox"), F.array(line).alias("lines"))
+    return stash(rows.select("doc_id", "page", "block_no", F.col("h").alias("page_height"), box.alias("bbox"), F.array(line).alias("lines")), "blocks")
 
 
-def _figures(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(X.FIGURES, "doc_id long, id int, page int, x0 double, y0 double, x1 double, y1 double, kind string")
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raster figure over every page's block 4 and a vector one that frames it or stands alone; and the fixture's."""
+    pages = _laid_out(spark, sf_dir).where("doc_id >= 0").select("doc_id", "page").distinct()
+    drawn = lambda nth, kind, x0, y0, x1, y1: F.struct((2 * F.col("page") + nth).cast("int").alias("id"), *[F.lit(float(v)).alias(k) for k, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))], F.lit(kind).alias("kind"))
+    both = F.array(drawn(0, "raster", 60, 205, 300, 255), F.when(F.col("page") % 2 == 0, drawn(1, "vector", 50, 200, 310, 260)).otherwise(drawn(1, "vector", 50, 340, 420, 430)))
+    rows = pages.select("doc_id", "page", F.explode(both).alias("f")).select("doc_id", "f.id", "page", "f.x0", "f.y0", "f.x1", "f.y1", "f.kind")
+    fixed = spark.createDataFrame(X.FIGURES, "doc_id long, id int, page int, x0 double, y0 double, x1 double, y1 double, kind string")
+    rows = rows.union(fixed.withColumn("doc_id", -F.col("doc_id")))
     return rows.select("doc_id", "id", "page", F.struct("x0", "y0", "x1", "y1").alias("bbox"), "kind")
 
 
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(X.PAGES, "doc_id long, n_pages int")
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _laid_out(spark, sf_dir).groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
 
 
-_B = f"with b as (select * from {X.values(X.BLOCKS)} t(doc_id, page, block_no, h, x0, y0, x1, y1, size, bold, text)), f as (select * from {X.values(X.FIGURES)} t(doc_id, id, page, x0, y0, x1, y1, kind)), pg as (select * from {X.values(X.PAGES)} t(doc_id, n_pages))"
+_B = f"""with ln as (select doc_id, n, trim(regexp_replace(raw, '{_CLEAN}', ' ', 'g')) text from (select doc_id, unnest(ls) raw, unnest(range(len(ls))) n from (select doc_id, string_split(text, chr(10)) ls from documents))),
+b as (select doc_id, (n // {_LINES})::int page, (n % {_LINES})::int block_no, 792.0::double h, (54 + 10 * (n % 3))::double x0, (20 + 47 * (n % {_LINES}))::double y0, (54 + 10 * (n % 3) + least(4 * length(text), 480))::double x1,
+ (32 + 47 * (n % {_LINES}))::double y1, case when length(text) % 5 = 0 then 14.0 when length(text) % 7 = 0 then 11.0 else 9.0 end::double size, case when length(text) % 11 = 0 then length(text) else 0 end::int bold, text from ln where text <> ''
+ union all select -doc_id, page, block_no, h, x0, y0, x1, y1, size, bold, text from {X.values(X.BLOCKS)} t(doc_id, page, block_no, h, x0, y0, x1, y1, size, bold, text)),
+pp as (select distinct doc_id, page from b where doc_id >= 0),
+f as (select doc_id, (2 * page)::int id, page, 60.0::double x0, 205.0::double y0, 300.0::double x1, 255.0::double y1, 'raster' kind from pp
+ union all select doc_id, (2 * page + 1)::int, page, 50.0, case when page % 2 = 0 then 200.0 else 340.0 end, case when page % 2 = 0 then 310.0 else 420.0 end, case when page % 2 = 0 then 260.0 else 430.0 end, 'vector' from pp
+ union all select -doc_id, id, page, x0, y0, x1, y1, kind from {X.values(X.FIGURES)} t(doc_id, id, page, x0, y0, x1, y1, kind)),
+pg as (select doc_id, max(page) + 1 n_pages from b group by 1)"""
 _OVER = "greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0)) / greatest(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0), 1e-6)"
 
 
 @query(f"{_B} select doc_id::bigint doc_id, size::double body_size from (select doc_id, size, row_number() over (partition by doc_id order by sum(length(text)) desc, min(page * 1000 + block_no)) r from b group by 1, 2) where r = 1")
 def body_font_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.body_font_size(_blocks(spark))
+    return L.body_font_size(_blocks(spark, sf_dir))
 
 
 @query(f"{_B} select doc_id::bigint doc_id, page::int page, block_no::int block_no, size::double mean_size, round(bold / length(text), 6) bold, length(text)::int n_chars from b")
 def block_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.block_stats(_blocks(spark)).select("doc_id", "page", "block_no", "mean_size", F.round("bold", 6).alias("bold"), F.col("n_chars").cast("int").alias("n_chars"))
+    return L.block_stats(_blocks(spark, sf_dir)).select("doc_id", "page", "block_no", "mean_size", F.round("bold", 6).alias("bold"), F.col("n_chars").cast("int").alias("n_chars"))
 
 
 _MARGIN = f"{_B}, m as (select *, y1 < 0.08 * h or y0 > 0.92 * h mg, regexp_replace(lower(text), '[0-9]+', '#', 'g') key from b), hf as (select m.doc_id, key from m join pg using (doc_id) where mg and n_pages >= 2 group by m.doc_id, key, n_pages having count(distinct page) >= case when n_pages >= 3 then 3 else 2 end), kp as (select m.* from m where not (mg and (regexp_matches(text, '(?i)^\\s*(page\\s*)?\\d{{1,4}}(\\s*(of|/)\\s*\\d{{1,4}})?\\s*$') or exists (select 1 from hf where hf.doc_id = m.doc_id and hf.key = m.key))))"
@@ -349,7 +391,7 @@ _MARGIN = f"{_B}, m as (select *, y1 < 0.08 * h or y0 > 0.92 * h mg, regexp_repl
 
 @query(f"{_MARGIN} select doc_id::bigint doc_id, key from hf")
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.running_headers(_blocks(spark), _pages(spark))
+    return L.running_headers(_blocks(spark, sf_dir), _pages(spark, sf_dir))
 
 
 _CLASS = f"""{_MARGIN}, tk as (select *, len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) nt from kp where regexp_matches(text, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]{{2,}}')),
@@ -365,12 +407,12 @@ un as (select * from kd where not (hh and rf))"""
 
 @query(f"{_CLASS} select doc_id::bigint doc_id, page::int page, block_no::int block_no, text, nt::int ntok, kind, ih is_heading from un")
 def classified_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.classify(_blocks(spark), _figures(spark), _pages(spark)).select("doc_id", "page", "block_no", "text", "ntok", "kind", "is_heading")
+    return L.classify(_blocks(spark, sf_dir), _figures(spark, sf_dir), _pages(spark, sf_dir)).select("doc_id", "page", "block_no", "text", "ntok", "kind", "is_heading")
 
 
 @query(f"{_CLASS} select doc_id::bigint doc_id, coalesce(max(case when r = 1 then text end), '') title from (select doc_id, text, ok, row_number() over (partition by doc_id, ok order by size desc, block_no) * ok r from (select *, (page = 0 and ih and nt >= 3)::int ok from un)) group by 1")
 def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.titles(L.classify(_blocks(spark), _figures(spark), _pages(spark)))
+    return L.titles(L.classify(_blocks(spark, sf_dir), _figures(spark, sf_dir), _pages(spark, sf_dir)))
 
 
 @query(
@@ -378,7 +420,7 @@ def document_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     "gp as (select *, sum(nw::int) over (partition by doc_id order by page, block_no) - 1 id from nr) select doc_id::bigint doc_id, id::int id, first(kind order by page, block_no) kind, string_agg(text, ' ' order by page, block_no) text, first(page order by page, block_no)::int page, count(*)::int n_lines from gp group by 1, 2"
 )
 def merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paras = L.paragraphs(L.classify(_blocks(spark), _figures(spark), _pages(spark)))
+    paras = L.paragraphs(L.classify(_blocks(spark, sf_dir), _figures(spark, sf_dir), _pages(spark, sf_dir)))
     return paras.select("doc_id", "id", "kind", "text", "page", F.size("lines").alias("n_lines"))
 
 
@@ -388,30 +430,35 @@ def merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "r as (select *, row_number() over (partition by doc_id, id order by gap, cid) k from g where gap >= 0 and gap < 80) select f.doc_id::bigint doc_id, f.id::int id, coalesce(r.text, '') caption from f left join r on r.doc_id = f.doc_id and r.id = f.id and k = 1"
 )
 def captioned_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paras = L.paragraphs(L.classify(_blocks(spark), _figures(spark), _pages(spark)))
-    return L.attach_captions(_figures(spark), paras).select("doc_id", "id", "caption")
+    paras = L.paragraphs(L.classify(_blocks(spark, sf_dir), _figures(spark, sf_dir), _pages(spark, sf_dir)))
+    return L.attach_captions(_figures(spark, sf_dir), paras).select("doc_id", "id", "caption")
 
 
 @query(f"{_B} select f.doc_id::bigint doc_id, f.id::int id, f.kind from f where not (f.kind = 'vector' and exists (select 1 from f r where r.kind = 'raster' and r.doc_id = f.doc_id and r.page = f.page and ({_OVER.format(a='f', b='r')} > 0.8 or {_OVER.format(a='r', b='f')} > 0.8))) and f.x1 - f.x0 >= 40 and f.y1 - f.y0 >= 40 and (f.x1 - f.x0) * (f.y1 - f.y0) <= 0.9 * 612 * 792")
 def allowed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = L.without_frames(_figures(spark)).where(L.figure_allowed(F.col("bbox"), F.lit(612.0), F.lit(792.0)))
+    kept = L.without_frames(_figures(spark, sf_dir)).where(L.figure_allowed(F.col("bbox"), F.lit(612.0), F.lit(792.0)))
     return kept.select("doc_id", "id", "kind")
 
 
 @query(f"{_B} select b.doc_id::bigint doc_id, b.page::int page, b.block_no::int block_no, f.id::int id, round({_OVER.format(a='b', b='f')}, 6) share from b join f on f.doc_id = b.doc_id and f.page = b.page where {_OVER.format(a='b', b='f')} > 0")
 def rectangle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    figs = _figures(spark).select("doc_id", "page", "id", F.col("bbox").alias("fig"))
-    both = _blocks(spark).join(figs, ["doc_id", "page"]).withColumn("share", L.overlap_share(F.col("bbox"), F.col("fig")))
+    figs = _figures(spark, sf_dir).select("doc_id", "page", "id", F.col("bbox").alias("fig"))
+    both = _blocks(spark, sf_dir).join(figs, ["doc_id", "page"]).withColumn("share", L.overlap_share(F.col("bbox"), F.col("fig")))
     return both.where("share > 0").select("doc_id", "page", "block_no", "id", F.round("share", 6).alias("share"))
 
 
 @query(
-    f"with o as (select *, string_split(value, chr(9)) c from {X.values(X.OCR)} t(doc_id, page, line_no, value)), w as (select doc_id, page, line_no, c[3]::int bl, c[4]::int pr, c[5]::int ln, trim(c[12]) word, c[7]::double x, c[8]::double y, c[9]::double wd, c[10]::double ht from o where len(c) >= 12 and c[1] = '5' and trim(c[12]) <> ''), "
+    f"with wd as (select doc_id, n, unnest(ws) w, unnest(range(len(ws))) i from (select doc_id, n, string_split(trim(regexp_replace(raw, '{_CLEAN}', ' ', 'g')), ' ') ws from (select doc_id, unnest(ls) raw, unnest(range(len(ls))) n from (select doc_id, string_split(text, chr(10)) ls from documents)))), "
+    f"o as (select *, string_split(value, chr(9)) c from {X.values(X.OCR)} t(doc_id, page, line_no, value) union all select -1 - doc_id, 0, n * 10000 + i, '', [(case when w = '' then '4' else '5' end), '1', (n // 4 + 1)::varchar, '1', (n % 4 + 1)::varchar, (i + 1)::varchar, (300 + 90 * i)::varchar, (300 + 50 * n)::varchar, (10 * length(w))::varchar, '40', '96', w] from wd), w as (select doc_id, page, line_no, c[3]::int bl, c[4]::int pr, c[5]::int ln, trim(c[12]) word, c[7]::double x, c[8]::double y, c[9]::double wd, c[10]::double ht from o where len(c) >= 12 and c[1] = '5' and trim(c[12]) <> ''), "
     "l as (select doc_id, page, bl, pr, ln, string_agg(word, ' ' order by line_no) text, min(x) * 0.24 x0, min(y) * 0.24 y0, max(x + wd) * 0.24 x1, max(y + ht) * 0.24 y1 from w group by all) "
     "select doc_id::bigint doc_id, page::int page, (row_number() over (partition by doc_id, page order by bl, pr) - 1)::int block_no, string_agg(text, ' / ' order by ln) text, round(min(x0), 6) x0, round(min(y0), 6) y0, round(max(x1), 6) x1, round(max(y1), 6) y1 from l group by doc_id, page, bl, pr"
 )
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(X.OCR, "doc_id long, page int, line_no int, value string")
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    found = lines.select("doc_id", "n", F.posexplode(F.split(F.btrim(F.regexp_replace("raw", _CLEAN, " ")), " ")).alias("i", "w"))
+    cells = [F.when(F.col("w") == "", "4").otherwise("5"), F.lit(1), F.floor(F.col("n") / 4) + 1, F.lit(1), F.col("n") % 4 + 1, F.col("i") + 1, 300 + 90 * F.col("i"), 300 + 50 * F.col("n"), 10 * F.length("w"), F.lit(40), F.lit(96)]
+    told = found.select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(0).alias("page"), (F.col("n") * 10000 + F.col("i")).alias("line_no"), F.concat_ws("\t", *[c.cast("string") for c in cells], "w").alias("value"))
+    rows = told.union(spark.createDataFrame(X.OCR, "doc_id long, page int, line_no int, value string"))
     box = [F.round(f"bbox.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")]
     return L.ocr_blocks(rows).select("doc_id", "page", "block_no", F.array_join(F.transform("lines", lambda x: x.text), " / ").alias("text"), *box)
 
@@ -419,7 +466,7 @@ def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_B} select doc_id::bigint doc_id, page::int page, block_no::int block_no, round(x0 + (x1 - x0) * 2 / length(text), 6) x0, round(x0 + (x1 - x0) * least(9, length(text)) / length(text), 6) x1 from b where length(text) > 2")
 def clipped_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box of characters 2 to 9 of each block."""
-    rows = L.join_lines(_blocks(spark)).withColumn("r", F.explode(V.clip_lines(F.col("spans"), F.lit(2), F.lit(9))))
+    rows = L.join_lines(_blocks(spark, sf_dir)).withColumn("r", F.explode(V.clip_lines(F.col("spans"), F.lit(2), F.lit(9))))
     return rows.select("doc_id", "page", "block_no", F.round("r.bbox.x0", 6).alias("x0"), F.round("r.bbox.x1", 6).alias("x1"))
 
 
@@ -427,9 +474,9 @@ def clipped_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors of every label as two collections: those of even and of odd place in the label."""
+    """Vectors of every label as two collections: those of even and of odd number."""
     rows = _table(spark, sf_dir, "embeddings")
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) % 2
+    place = F.col("vec_id") % 2
     rows = rows.select(F.col("label").alias("a_doc"), F.col("label").alias("b_doc"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), place.alias("side"))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     rows = stash(rows.withColumn("vec", F.transform("vec", lambda x: x / norm(F.col("vec")))), "vectors")
@@ -437,7 +484,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _SIM = (
-    "with e as (select label, vec_id id, embedding::double[] v, row_number() over (partition by label order by vec_id) % 2 side from embeddings), "
+    "with e as (select label, vec_id id, embedding::double[] v, vec_id % 2 side from embeddings), "
     "s as (select a.label, a.id i, b.id j, round(list_cosine_similarity(a.v, b.v), 9) sim from e a join e b on a.label = b.label and a.side = 1 and b.side = 0), "
     "ra as (select label, i, arg_min(j, (-sim, j)) j, max(sim) sim from s group by 1, 2), rb as (select label, j, arg_min(i, (-sim, i)) i, max(sim) sim from s group by 1, 2) "
 )
@@ -542,5 +589,5 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_B} select doc_id::bigint a_doc, 2::bigint b_doc, page::int page, round(x0::double, 3) x0, round(y1::double, 3) y1, 'figure' layer, 'figure same: pHash ' || id || ', NCC 0.5; matches B p' || (page + 1) note from f where x1 - x0 >= 1 and y1 - y0 >= 1")
 def figure_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    figs = _figures(spark).select(F.col("doc_id").alias("a_doc"), F.lit(2).cast("long").alias("b_doc"), F.lit("same").alias("verdict"), F.col("id").alias("phash_distance"), F.lit(0.5).alias("ncc"), F.col("page").alias("a_page"), F.col("page").alias("b_page"), F.col("bbox").alias("a_bbox"))
+    figs = _figures(spark, sf_dir).select(F.col("doc_id").alias("a_doc"), F.lit(2).cast("long").alias("b_doc"), F.lit("same").alias("verdict"), F.col("id").alias("phash_distance"), F.lit(0.5).alias("ncc"), F.col("page").alias("a_page"), F.col("page").alias("b_page"), F.col("bbox").alias("a_bbox"))
     return reports.marks("a", figures=figs).select("a_doc", "b_doc", "page", F.round("bbox.x0", 3).alias("x0"), F.round("bbox.y1", 3).alias("y1"), "layer", "note")
