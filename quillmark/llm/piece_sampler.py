@@ -9,7 +9,8 @@ A segmentation weighs the product of its pieces; piece with merge rank r weighs
 Where no piece has two neighbouring characters side by side, as before spaces and around newlines and most
 marks, the lattice falls apart, and chunks between such places are drawn independently.  Each distinct chunk is filtered once while
 it stays in a cache of fixed size, whose hits compare bytes; draws use a counter hash of (row key, chunk, step) and so do not
-depend on batches, partitions or the cache.
+depend on batches, partitions or the cache.  The lattice of a chunk of more than ``LONG`` bytes is not kept but
+gone through twice in blocks, so memory stays bounded whatever stands without a space.
 
 Decoding is exact: characters without a piece, newlines, and a literal U+2581 go out as byte pieces,
 and the space that stands before a text is taken off again.
@@ -33,6 +34,8 @@ _LITERAL = 0x7FFFFFFF  # a literal U+2581, which no piece matches
 _CHAR = 0xE7037ED1A0B428DB
 _CACHE_BITS, _CACHE_EDGES, _SIEVE = 20, 6 << 20, 19
 _CELLS = 1 << 18  # of lattices filtered together
+LONG = 1 << 15  # bytes of a chunk whose lattice isn't kept
+_STRIDE = 1 << 14  # characters of such a chunk that are matched together
 
 
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
@@ -225,18 +228,19 @@ class Sampler:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         if self.cdf.n > _CACHE_EDGES:
             self._clear()
-        h = range_hashes(buf, s, e)
-        chunk = self.known.find(h, buf, s, e)
+        plain = np.flatnonzero(e - s <= LONG)
+        h = range_hashes(buf, s[plain], e[plain])
+        chunk = self.known.find(h, buf, s[plain], e[plain])
         miss = np.flatnonzero(chunk < 0)
         if len(miss):
-            chunk[miss], reps = self.known.add(h[miss], buf, s[miss], e[miss])
+            chunk[miss], reps = self.known.add(h[miss], buf, s[plain[miss]], e[plain[miss]])
             raw = buf.tobytes()
-            self._filter([raw[s[i] : e[i]] for i in miss[reps]])
+            self._filter([raw[s[i] : e[i]] for i in plain[miss[reps]]])
         owner = np.searchsorted(off, s, side="right") - 1
         rank = np.arange(len(s)) - np.searchsorted(s, off[:-1])[owner]
         salt = mix(seeds[owner] + rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         first_edge, cdf, source = self.first.a, self.cdf.a, self.source.a
-        live, node = np.arange(len(s)), self.last.a[chunk]
+        live, node = plain, self.last.a[chunk]
         taken, whose = [], []
         n = np.zeros(len(s), np.int64)
         turn = 0
@@ -253,11 +257,15 @@ class Sampler:
             node = source[edge]
             go = node >= 0
             live, node, turn = live[go], node[go], turn + 1
+        drawn = {int(i): self._draw_long(buf[s[i] : e[i]].tobytes(), salt[i]) for i in np.flatnonzero(e - s > LONG)}
+        for i, codes in drawn.items():
+            n[i] = len(codes)
         place = np.cumsum(n)  # pieces were drawn from the end
         edges = np.empty(int(n.sum()), np.int64)
         for t, (edge, own) in enumerate(zip(taken, whose, strict=True)):
-            edges[place[own] - 1 - t] = edge
-        edges = self.code.a[edges]
+            edges[place[own] - 1 - t] = self.code.a[edge]
+        for i, codes in drawn.items():
+            edges[place[i] - n[i] : place[i]] = codes
         wide = self.n_out.a[edges].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(wide)])
         if total[-1] == len(edges):
@@ -267,6 +275,54 @@ class Sampler:
         piece_of = np.concatenate([[0], place])[np.searchsorted(s, off)]
         return ids.astype(np.int32), total[piece_of]
 
+    def _ends(self, codes: np.ndarray, lo: int, hi: int, most: int) -> np.ndarray:
+        """Pieces that end at each of the places lo+1..hi, the longest first; -1 for none."""
+        base = max(0, lo - most + 1)
+        part = codes[base : hi + most]
+        found = self._match(part, np.full(len(part), min(len(part), hi - base)))
+        length = np.arange(most, 0, -1)
+        start = np.arange(lo + 1, hi + 1)[:, None] - length - base
+        got = found[length - 1, np.maximum(start, 0)]
+        got[start < 0] = -1
+        return got
+
+    def _draw_long(self, raw: bytes, salt: np.uint64) -> np.ndarray:
+        """A draw from a chunk of any length: of the filtered sums alone a number for each place is kept.
+
+        Sums are taken forwards block by block; backwards each block is matched again and its shares follow
+        from the sums.
+        """
+        codes = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes = np.where(codes == _SPACE, _LITERAL, np.where(codes == 0x20, _SPACE, codes))
+        n, most = len(codes), max(self.p.by_length)
+        level = np.zeros(n + 1)  # logs of the sums
+        window = np.zeros(most)  # sums of the places before over that of the last, the nearest last
+        window[-1] = 1
+        for lo in range(0, n, _STRIDE):
+            hi = min(lo + _STRIDE, n)
+            ends = self._ends(codes, lo, hi, most)
+            weight = np.append(self.weight.a[: self.weight.n], 0.0)[ends]
+            for j in range(hi - lo):
+                total = float(weight[j] @ window)
+                level[lo + j + 1] = level[lo + j] + np.log(total)
+                window[:-1] = window[1:] / total
+                window[-1] = 1
+        out, place, lo, turn = [], n, n, 0
+        while place:
+            if place <= lo:
+                hi, lo = place, max(0, place - _STRIDE)
+                ends = self._ends(codes, lo, hi, most)
+                weight = np.append(self.weight.a[: self.weight.n], 0.0)[ends]
+            row = place - lo - 1
+            before = level[np.maximum(place - np.arange(most, 0, -1), 0)] - level[place]
+            share = np.cumsum((weight[row] * np.exp(before))[ends[row] >= 0])
+            u = float(mix(np.array([salt + np.uint64(turn)], np.uint64))[0] >> np.uint64(11)) * 2.0**-53
+            at = np.flatnonzero(ends[row] >= 0)[min(int(np.searchsorted(share, u, side="left")), len(share) - 1)]
+            out.append(int(ends[row, at]))
+            place -= most - int(at)
+            turn += 1
+        return np.array(out[::-1], np.int64)
+
 
 def decode_ids(p: Pieces, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the texts whose ids are ``ids[first[i]:first[i+1]]``, and their offsets."""

@@ -133,6 +133,19 @@ def test_pieces_are_lossless(text):
     assert sentencepiece.SentencePieceProcessor(model_file=PIECES).decode(ids.tolist()) == text
 
 
+def test_long_chunks_are_drawn_alike(monkeypatch):
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("abcdefghé"), 700)), "日本語の文章" * 90, "x" * 400, "a b " + "".join(r.choice(list("etaoin"), 300))]
+    buf, off = textkit.buffers(pa.array(texts))
+    seeds = np.array([5, 6, 7, 8], np.uint64)
+    p = piece_sampler.Pieces(PIECES)
+    want = piece_sampler.Sampler(p).sample(buf, off, seeds)
+    monkeypatch.setattr(piece_sampler, "LONG", 100)
+    monkeypatch.setattr(piece_sampler, "_STRIDE", 64)
+    got = piece_sampler.Sampler(p).sample(buf, off, seeds)
+    assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+
+
 def test_sampling_follows_the_lattice():
     sampler = piece_sampler._sampler(PIECES, 0.7)
     p, full = sampler.p, "▁then"
