@@ -237,7 +237,7 @@ def _open(stars: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
                 F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("n_left"),
             )
         )
-        return stash(member.join(several, "cluster"), "open", thin=True)
+        return stash(member.join(stash(several, "several", thin=True), "cluster"), "open", thin=True)
 
     wide = split(components(stars).withColumnRenamed("label", "cluster"))
     ready = wide.join(texts, "node").select("cluster", "node", "label", "text")
@@ -324,6 +324,7 @@ def _linked_rows(docs: DataFrame) -> DataFrame:
     named = group.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.where("label <> node").select("label").distinct()  # components of more than one set
     ends = named.join(least, "label", "left_semi").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("end"))
+    ends = stash(ends, "ends", thin=True)  # a small table goes to the large component's rows, not they to one task
     named = named.join(ends, "label", "left").select(
         *same, F.when(F.col("end").isNull(), F.col("doc_id")).otherwise(F.col("end.doc_id")).alias("component_id"), F.coalesce("end.node", "node").alias("keeper")
     )
