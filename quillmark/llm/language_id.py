@@ -30,6 +30,7 @@ WINDOW = 192
 LANES = 2048
 PAD = 256
 TRAIN_ROWS, PIECES, PIECE_BYTES = 2400, 8, 64
+MAX_SHARED = 1 << 16  # languages whose limits go to every task: some MB
 STEPS, BATCH, RATE = 260, 256, 0.02
 
 Weights = dict[str, np.ndarray]
@@ -143,7 +144,10 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], W
     langs = sorted(counts)
     share = max(1, train_rows // len(langs))
     below = [(k, max(counts[k][1], min((1 << 63) - 1, int((share + 3 * share**0.5) / counts[k][0] * 2.0**63)))) for k in langs]
-    chosen = labelled.join(spark.createDataFrame(below, "lang string, top long"), "lang").where("h <= top")
+    limits = spark.createDataFrame(below, "lang string, top long")
+    if len(below) <= MAX_SHARED:  # texts stay where they are
+        limits = F.broadcast(limits)
+    chosen = labelled.join(limits, "lang").where("h <= top")
     chosen = chosen.groupBy("lang", "h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     rows = chosen.select("doc_id", "text", "lang").mapInArrow(_pieces, "lang string, piece binary").orderBy("lang", "piece").collect()
     code = {k: i for i, k in enumerate(langs)}
