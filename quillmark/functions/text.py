@@ -59,11 +59,23 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
 
 
+_FOLDED = str.maketrans(LIGATURES | ONE_TO_ONE | dict.fromkeys(DELETED, ""))
+
+
 def normalized(text: str) -> str:
     """``normalize`` of one string."""
-    text = text.translate(str.maketrans(LIGATURES | ONE_TO_ONE | dict.fromkeys(DELETED, "")))
-    text = re.sub(r"(?<=\w)-\s*\n\s*(?=[a-z])", "", unicodedata.normalize("NFKC", text))
-    return re.sub(r"[ \t\r\f\v]+", " ", re.sub(r"\s*\n\s*", " ", text)).strip()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text.translate(_FOLDED))
+    if "\n" in text:
+        text = re.sub(r"(?<=\w)-\s*\n\s*(?=[a-z])", "", text)
+        text = re.sub(r"\s*\n\s*", " ", text)
+    return re.sub(r"[ \t\r\f\v]+", " ", text).strip() if re.search(r"[\t\r\f\v]|  ", text) else text.strip()
+
+
+@F.pandas_udf(StringType())
+def normalize_text(text: pd.Series) -> pd.Series:
+    """``normalized`` of a column, for SQL."""
+    return text.map(lambda t: None if t is None else normalized(t))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -194,6 +206,6 @@ def diff_marks(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 def register(spark: SparkSession) -> None:
     """Make the functions known to SQL by name."""
     for name, function in {
-        "nfkc": nfkc, "tokens_with_offsets": tokens_with_offsets, "split_sentences": split_sentences, "indel_ratio": indel_ratio, "diff_marks": diff_marks,
+        "nfkc": nfkc, "normalize_text": normalize_text, "tokens_with_offsets": tokens_with_offsets, "split_sentences": split_sentences, "indel_ratio": indel_ratio, "diff_marks": diff_marks,
     }.items():
         spark.udf.register(name, function)

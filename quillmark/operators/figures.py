@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -19,13 +19,8 @@ PAIR = ["a_doc", "b_doc"]
 HASHES = "struct<phash:bigint,dhash:bigint,blank:boolean,thumb:array<float>,gray:array<float>,gh:int,gw:int>"
 
 
-def hash_figures(figures: DataFrame, params: ImageParams = ImageParams()) -> DataFrame:
-    """``figures`` with ``phash, dhash, blank, thumb, gray, gh, gw``.
-
-    Pixels are ``height, width, channels, data`` as Spark's image source has them (BGR rows).  A
-    nearly even image is blank and has no hashes.  A figure without pixels, as of a coding that isn't read here, has
-    no hashes either and can only be an exact copy.
-    """
+def figure_hash(params: ImageParams = ImageParams()):
+    """An Arrow function of ``height, width, channels, data`` to the fields of ``HASHES``."""
 
     @F.pandas_udf(HASHES)
     def hashes(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
@@ -44,7 +39,23 @@ def hash_figures(figures: DataFrame, params: ImageParams = ImageParams()) -> Dat
             rows.append((I.phash(image), I.dhash(image), False, I.thumbnail(image).astype("f4").reshape(-1), small.astype("f4").reshape(-1), *small.shape))
         return pd.DataFrame(rows, columns=["phash", "dhash", "blank", "thumb", "gray", "gh", "gw"]).astype({"phash": "Int64", "dhash": "Int64"})
 
-    return figures.withColumn("_h", hashes("height", "width", "channels", "data")).select("*", "_h.*").drop("_h")
+    return hashes
+
+
+def hash_figures(figures: DataFrame, params: ImageParams = ImageParams()) -> DataFrame:
+    """``figures`` with ``phash, dhash, blank, thumb, gray, gh, gw``.
+
+    Pixels are ``height, width, channels, data`` as Spark's image source has them (BGR rows).  A
+    nearly even image is blank and has no hashes.  A figure without pixels, as of a coding that isn't read here, has
+    no hashes either and can only be an exact copy.
+    """
+    return figures.withColumn("_h", figure_hash(params)("height", "width", "channels", "data")).select("*", "_h.*").drop("_h")
+
+
+def register(spark: SparkSession) -> None:
+    """Make the functions known to SQL as ``figure_hash`` and ``crop_score``."""
+    spark.udf.register("figure_hash", figure_hash())
+    spark.udf.register("crop_score", crop_either_way)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
+from quillmark.operators import figures
 
 
 def column(spark, texts, make):
@@ -82,3 +83,8 @@ def test_difference_marks():
 def test_sql_names(spark):
     T.register(spark)
     assert spark.sql("select round(indel_ratio('abcd', 'abed'), 1)").first()[0] == 75.0
+    assert spark.sql("select normalize_text('a  b\n c')").first()[0] == "a b c"
+    figures.register(spark)
+    even = spark.createDataFrame([(20, 30, 1, bytearray(600))], "height int, width int, channels int, data binary")
+    even.createOrReplaceTempView("even_figures")
+    assert spark.sql("select figure_hash(height, width, channels, data).blank from even_figures").first()[0]
