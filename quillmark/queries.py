@@ -104,6 +104,18 @@ from (select n.*, f.s0, f.s1, f.t0, f.t1, f.g,
 mg as (select a, b, s0 a0, max(s1) a1, t0 b0, max(t1) b1 from fold group by a, b, g, s0, t0)"""
 
 
+#: Runs that are long enough, no boilerplate and alike enough; the common subsequence by its table, a row for each character of B.
+_SCORED = (
+    """, lg as (select mg.*, array_to_string(x.t[a0 + 1:a1], ' ') sa, array_to_string(y.t[b0 + 1:b1], ' ') sb from mg join tka x on x.d = a join tkb y on y.d = b where a1 - a0 >= 12),
+ok as (select * from lg where not exists (select 1 from (select unnest([""" + ", ".join(f"'{p}'" for p in V.BOILERPLATE) + """]) p) where contains(p, sa))),
+lcs as (select sa, sb, 0 k, list_transform(range(length(sa) + 1), lambda x: 0) r from (select distinct sa, sb from ok where sa <> sb)
+union all
+select sa, sb, k + 1, list_transform(range(1, length(sa) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda i: case when i > 1 and sa[i - 1] = sb[k + 1] then r[i - 1] + 1 else r[i] end))) from lcs where k < length(sb)),
+rt as (select ok.*, case when ok.sa = ok.sb then 100.0::double else 200.0::double * r[-1] / (length(ok.sa) + length(ok.sb)) end ratio from ok left join lcs on lcs.sa = ok.sa and lcs.sb = ok.sb and lcs.k = length(ok.sb)),
+sc as (select *, row_number() over (partition by a, b order by a0, a1, b0, b1) - 1 run_id from rt where ratio >= 85)"""
+)
+
+
 # --- tokens and fingerprints ------------------------------------------------------
 
 
@@ -218,12 +230,19 @@ def long_run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("a_doc", "b_doc", *names, F.round("coverage_a", 6).alias("coverage_a"), F.round("coverage_b", 6).alias("coverage_b"))
 
 
-@query()
+@query(
+    f"{_BOTH_FP}{_RUNS}{_FOLD}{_SCORED} select a a_doc, b b_doc, run_id::int run_id, a0::int a0, a1::int a1, b0::int b0, b1::int b1, sa a_tokens, sb b_tokens, round(ratio, 1) score, case when ratio >= 100 then 'exact' else 'near' end verdict from sc"
+)
 def scored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _Verbatim(spark, sf_dir).scored().drop("ta", "tb")
 
 
-@query()
+@query(
+    f"{_BOTH_FP}{_RUNS}{_FOLD}{_SCORED}, ps as (select distinct a, b from sd2), ca as (select a, b, count(distinct x) c from (select a, b, unnest(range(a0, a1)) x from sc) group by 1, 2), cb as (select a, b, count(distinct x) c from (select a, b, unnest(range(b0, b1)) x from sc) group by 1, 2), "
+    "rr as (select a, b, count(*) n, max(a1 - a0) mx from sc group by 1, 2) "
+    "select ps.a a_doc, ps.b b_doc, len(tka.t)::int tokens_a, coalesce(ca.c, 0)::bigint covered_a, len(tkb.t)::int tokens_b, coalesce(cb.c, 0)::bigint covered_b, coalesce(mx, 0)::int longest_run, coalesce(n, 0)::bigint runs, "
+    "coalesce(ca.c, 0) / len(tka.t) coverage_a, coalesce(cb.c, 0) / len(tkb.t) coverage_b from ps join tka on tka.d = ps.a join tkb on tkb.d = ps.b left join ca using (a, b) left join cb using (a, b) left join rr using (a, b)"
+)
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _Verbatim(spark, sf_dir)
     return V.coverage(v.pairs, v.scored(), v.sa, v.sb)
