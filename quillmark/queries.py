@@ -295,12 +295,19 @@ def lines_without_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text -------------------------------------------------------------------------
 
 
-@query(
-    "with a as (select doc_id, translate(text, '" + "".join(T.ONE_TO_ONE).replace("'", "''") + "', '" + "".join(T.ONE_TO_ONE.values()).replace("'", "''") + "') t from documents), "
-    "b as (select doc_id, nfc_normalize(" + "".join("replace(" for _ in [*T.DELETED, *T.LIGATURES]) + "t" + "".join(f", '{g}', '{x}')" for g, x in [*((g, '') for g in T.DELETED), *T.LIGATURES.items()]) + ") t from a), "
-    "c as (select doc_id, regexp_replace(regexp_replace(t, '([\\p{L}\\p{N}_])-[\\s\\x0B]*\\n[\\s\\x0B]*([a-z])', '\\1\\2', 'g'), '[\\s\\x0B]*\\n[\\s\\x0B]*', ' ', 'g') t from b) "
-    "select doc_id, regexp_replace(regexp_replace(t, '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') text from c"
-)
+def _normal(t: str) -> str:
+    """SQL of ``normalize`` for a text that has no compatibility characters but ligatures; a joined word's letter can't end another break."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    t = f"translate({t}, {quoted(''.join(T.ONE_TO_ONE))}, {quoted(''.join(T.ONE_TO_ONE.values()))})"
+    for glyph, letters in [*((g, "") for g in T.DELETED), *T.LIGATURES.items()]:
+        t = f"replace({t}, '{glyph}', '{letters}')"
+    space = "[\\s\\x0B]"
+    t = f"regexp_replace(nfc_normalize({t}), '([\\p{{L}}\\p{{N}}_])-{space}*\\n{space}*([a-z])', '\\1\\2', 'g')"
+    t = f"regexp_replace({t}, '{space}*\\n{space}*', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({t}, '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '^{space}+|{space}+$', '', 'g')"
+
+
+@query(f"select doc_id, {_normal('text')} text from documents")
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("text"))
 
@@ -311,9 +318,21 @@ def line_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.col("para").cast("long").alias("para"), "line")
 
 
-@query()
+_CLOSE = """[.!?]+["'')\\]]*$"""
+
+
+@query(
+    f"with ln as (select doc_id, para, {_normal('raw')} t from (select doc_id, unnest(ls) raw, unnest(range(len(ls))) para from (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents))), "
+    "wd as (select doc_id, para, unnest(w) w, unnest(range(len(w))) i from (select doc_id, para, string_split(t, ' ') w from ln where t <> '')), "
+    f"""br as (select *, lower(rtrim(regexp_replace(w, '{_CLOSE}', ''), '.!?"'')]')) bare, lead(w) over (partition by doc_id, para order by i) nx from wd), """
+    f"""ct as (select *, (regexp_matches(w, '{_CLOSE}') and regexp_matches(nx, '^["''(\\[]?[A-Z0-9]') and not regexp_matches(bare, '^\\p{{L}}$') and bare not in ({', '.join(f"'{x}'" for x in sorted(T.ABBREVIATIONS))}))::int cut from br), """
+    "nm as (select *, coalesce(sum(cut) over (partition by doc_id, para order by i rows between unbounded preceding and 1 preceding), 0) nth, coalesce(sum(length(w) + 1) over (partition by doc_id, para order by i rows between unbounded preceding and 1 preceding), 0) ahead from ct), "
+    "st as (select doc_id, para, nth, string_agg(w, ' ' order by i) text, min(ahead) start from nm group by 1, 2, 3) "
+    "select doc_id, (row_number() over (partition by doc_id order by para, nth) - 1)::int id, para::int para, 'body' kind, 0::int page, text, start::int start, (start + length(text))::int stop from st"
+)
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sentences(_line_paragraphs(_docs(spark, sf_dir)))
+    found = _sentences(_line_paragraphs(_docs(spark, sf_dir)))
+    return found.select("doc_id", "id", "para", "kind", "page", "text", F.col("span.start").alias("start"), F.col("span.end").alias("stop"))
 
 
 @query(
