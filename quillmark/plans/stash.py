@@ -107,6 +107,15 @@ def numbered(df: DataFrame, key: str, row: str) -> DataFrame:
     return stash(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its scan has tasks for half of them at most; any larger table is left as it is.
+
+    A file of one row group is read by one task, and all that stays within rows would run there too.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 @contextmanager
 def in_memory() -> Iterator[None]:
     """Stashes go through the driver's memory: for a pair of files alone, whose tables are a few MB."""

@@ -15,7 +15,7 @@ from .operators import layout as L
 from .operators import semantic as S
 from .operators import verbatim as V
 from .operators.alike import near_pairs
-from .plans.stash import stash
+from .plans.stash import spread, stash
 from .sources import cache, reports
 
 FLAGSHIP = "shared_fingerprints"
@@ -51,7 +51,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
