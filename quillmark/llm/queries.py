@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.stash import spread
 from . import decontaminate, language_id, lm_score, near_dup, piece_sampler, quality, sharding, suffix_dedup, token_store, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
