@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm import decontaminate, near_dup, piece_sampler, quality, suffix_dedup
-from quillmark.plans.stash import discard, stash
+from quillmark.plans.stash import discard, spread, stash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns beside text pass through to the last stage, whatever their names.  An empty table gives no rows.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for i, (name, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
