@@ -150,23 +150,38 @@ def masks(a: str) -> dict[str, int]:
     return at
 
 
-def common_length(a: str, b: str, at: dict[str, int] | None = None) -> int:
-    """Length of the longest common subsequence, a bit for each character of ``a``; ``at`` are its masks."""
+_STEP = 16  # characters between looks at what can still be reached
+
+
+def common_length(a: str, b: str, at: dict[str, int] | None = None, least: int = 0) -> int:
+    """Length of the longest common subsequence, a bit for each character of ``a``; ``at`` are its masks.
+
+    -1 as soon as no ``least`` characters can be reached, whatever the rest of ``b``.
+    """
     if a == b:
         return len(a)
     at = masks(a) if at is None else at
     full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & at.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
-def ratio(a: str, b: str, at: dict[str, int] | None = None) -> float:
-    """Share of characters in a longest common subsequence, 0 to 100; two empty texts are alike."""
+    row, found = full, 0
+    for lo in range(0, len(b), _STEP):
+        for places in map(at.get, b[lo : lo + _STEP]):
+            if places:
+                hit = row & places
+                row = (row + hit) | (row - hit)
+        row &= full
+        found = len(a) - row.bit_count()
+        if found + max(0, len(b) - lo - _STEP) < least:
+            return -1
+    return found
+
+
+def ratio(a: str, b: str, at: dict[str, int] | None = None, threshold: float = 0.0) -> float:
+    """Share of characters in a longest common subsequence, 0 to 100; two empty texts are alike.
+
+    A share below ``threshold`` may come as a negative number.
+    """
     total = len(a) + len(b)
-    return 200.0 * common_length(a, b, at) / total if total else 100.0
+    return 200.0 * common_length(a, b, at, int(threshold * total / 200)) / total if total else 100.0
 
 
 @F.pandas_udf(DoubleType())

@@ -68,7 +68,7 @@ class Block:
             if len(hit):
                 masks = T.masks(self.texts[k])
                 for i in kept[part][hit]:
-                    ratio = T.ratio(self.texts[k], texts[i], masks)
+                    ratio = T.ratio(self.texts[k], texts[i], masks, self.threshold)
                     if ratio >= self.threshold:
                         yield int(i), int(k), ratio
 
