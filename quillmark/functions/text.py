@@ -156,20 +156,24 @@ _STEP = 16  # characters between looks at what can still be reached
 def common_length(a: str, b: str, at: dict[str, int] | None = None, least: int = 0) -> int:
     """Length of the longest common subsequence, a bit for each character of ``a``; ``at`` are its masks.
 
-    -1 as soon as no ``least`` characters can be reached, whatever the rest of ``b``.
+    -1 as soon as no ``least`` characters can be reached, whatever the rest of ``b``.  Such a subsequence leaves out
+    so few characters of ``a`` that none of it pairs with one of ``b`` more than ``ahead`` places before its own.
     """
     if a == b:
         return len(a)
     at = masks(a) if at is None else at
-    full = (1 << len(a)) - 1
-    row, found = full, 0
+    ahead = len(a) - least
+    row = size = found = 0
     for lo in range(0, len(b), _STEP):
+        wider = min(len(a), max(size, lo + _STEP + ahead))
+        row |= (1 << wider) - (1 << size)
+        size = wider
         for places in map(at.get, b[lo : lo + _STEP]):
             if places:
                 hit = row & places
                 row = (row + hit) | (row - hit)
-        row &= full
-        found = len(a) - row.bit_count()
+        row &= (1 << size) - 1
+        found = size - row.bit_count()
         if found + max(0, len(b) - lo - _STEP) < least:
             return -1
     return found
