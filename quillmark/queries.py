@@ -15,6 +15,7 @@ from .operators import layout as L
 from .operators import semantic as S
 from .operators import verbatim as V
 from .operators.alike import near_pairs
+from .operators.shared import shared_of_classes
 from .plans.stash import spread, stash
 from .sources import cache, reports
 
@@ -160,12 +161,7 @@ def fingerprint_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shared_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of token streams that share a fingerprint, each with its least document; ``document_classes`` has the members."""
-    classes = stash(V.classes(V.plain_streams(_docs(spark, sf_dir))), "classes")
-    prints = stash(V.usable(V.fingerprints(classes)), "prints")
-    found = V.shared_fingerprints(prints, prints, ordered=True)
-    for side in "ab":
-        found = found.join(classes.select(F.col("doc_id").alias(f"{side}_doc"), F.col("copies").alias(f"{side}_copies")), f"{side}_doc")
-    return found.select("a_doc", "b_doc", "a_copies", "b_copies", "shared", "places")
+    return shared_of_classes(_docs(spark, sf_dir))
 
 
 @query(f"with {_tok('tk', 'documents', 'doc_id')} select d doc_id, min(d) over (partition by t) representative from tk where len(t) > 0")
